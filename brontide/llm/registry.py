@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from brontide.llm import url_filter
+from brontide.llm import bpe, quality, url_filter
 
 
 def queries() -> dict:
-    return {"op9_url_filter": url_filter.op9_url_filter}
+    return {
+        "op2_quality_rules": quality.op2_quality_rules,
+        "op9_url_filter": url_filter.op9_url_filter,
+        "op10_byte_bpe": bpe.op10_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
