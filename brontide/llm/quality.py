@@ -3,7 +3,7 @@
 Each rule looks at a document's statistics and votes good, votes bad or
 abstains.  Expectation-maximisation over the histogram of vote patterns (at
 most 3**len(RULES) rows, so bounded whatever the corpus) estimates every rule's
-accuracy and the share of good documents; a document's verdict is its posterior
+accuracy; a document's verdict is its posterior
 probability of being good.  ``base_failed`` documents are rejected outright.
 
 Plan: one pass of Arrow batches computes the statistics, which are written to
@@ -36,8 +36,8 @@ REPEAT_WINDOW = 5
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stops", "n_bytes")
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in STATS)
 
-#: Share of good documents and a rule's accuracy before the first iteration.
-PRIOR, ACCURACY, ITERATIONS, KEEP_AT = 0.8, 0.8, 200, 0.5
+#: Share of good documents; a rule's accuracy before the first iteration, and its weight as a share of all documents.
+PRIOR, ACCURACY, SMOOTH, ITERATIONS, KEEP_AT = 0.5, 0.8, 0.01, 200, 0.5
 
 
 def votes() -> dict[str, tuple[Column, Column]]:
@@ -49,14 +49,17 @@ def votes() -> dict[str, tuple[Column, Column]]:
     dups = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     mean = F.col("word_chars") / words
     stops = F.col("n_stops") / words
+    none = F.lit(False)
+    usual = (symbols < 0.02) & (upper < 0.15) & mean.between(3, 9) & stops.between(0.005, 0.3) & (words >= 20)
     return {
-        "symbols": (symbols < 0.02, symbols > 0.1),
-        "upper": (upper < 0.15, upper > 0.4),
-        "repeats": (repeats < 0.05, repeats > 0.1),
-        "duplicate_lines": (F.col("n_dup_lines") == 0, dups > 0.2),
-        "word_length": (mean.between(3, 9), (mean < 2.5) | (mean > 12)),
-        "sentences": (stops.between(0.01, 0.4), stops > 0.6),
-        "length": (F.col("n_words") >= 50, F.col("n_words") < 20),
+        "prose": (usual, none),
+        "symbols": (none, symbols > 0.1),
+        "upper": (none, upper > 0.4),
+        "repeats": (none, repeats > 0.1),
+        "duplicate_lines": (none, dups > 0.2),
+        "word_length": (none, (mean < 2.5) | (mean > 12)),
+        "sentences": (none, stops > 0.6),
+        "varied": ((F.col("n_repeat_words") == 0) & (F.col("n_dup_lines") == 0) & (words >= 100) & (symbols < 0.05), none),
     }
 
 
@@ -122,32 +125,31 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_stats_batches, SCHEMA)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], k: int) -> tuple[float, np.ndarray]:
-    """(share of good, table [rule, true class, vote]) by EM on (votes in -1/0/1, count) rows."""
-    right = np.full((k, 2, 3), 0.0)
-    right[:, 0] = np.array([ACCURACY, 0.5, 1 - ACCURACY])
-    right[:, 1] = np.array([1 - ACCURACY, 0.5, ACCURACY])
-    right /= right.sum(axis=2, keepdims=True)
-    share = PRIOR
+def fit(patterns: list[tuple[tuple[int, ...], int]], k: int) -> np.ndarray:
+    """Accuracy of each of k rules by EM on (votes in -1/0/1, count) rows.
+
+    A rule's accuracy is the chance that its vote is right where it votes; an
+    abstention says nothing.  The class balance is fixed at PRIOR (it can't be told
+    from one-sided rules), accuracies start at ACCURACY with the weight of SMOOTH votes.
+    """
+    right = np.full(k, ACCURACY)
     if not patterns:
-        return share, right
-    votes_at = np.array([p for p, _ in patterns]).reshape(len(patterns), k) + 1
+        return right
+    votes_at = np.array([p for p, _ in patterns]).reshape(len(patterns), k)
     weight = np.array([c for _, c in patterns], float)
+    smooth = SMOOTH * weight.sum() + 1
     for _ in range(ITERATIONS):
-        good = posterior(votes_at - 1, share, right)
-        for y, part in ((0, (1 - good) * weight), (1, good * weight)):
-            for v in range(3):
-                right[:, y, v] = ((votes_at == v) * part[:, None]).sum(axis=0) + 1.0
-        right /= right.sum(axis=2, keepdims=True)
-        share = (good @ weight + 1) / (weight.sum() + 2)
-    return float(share), right
+        good = posterior(votes_at, right)[:, None]
+        agree = np.where(votes_at > 0, good, 1 - good) * (votes_at != 0)
+        right = (weight @ agree + smooth * ACCURACY) / (weight @ (votes_at != 0) + smooth)
+        right = np.clip(right, 0.5, 0.999)
+    return right
 
 
-def posterior(votes_at: np.ndarray, share: float, right: np.ndarray) -> np.ndarray:
-    at = np.asarray(votes_at) + 1
-    each = np.arange(right.shape[0])
-    log = [np.log(p) + np.log(right[each, y, at]).sum(axis=1) for y, p in ((0, 1 - share), (1, share))]
-    return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+def posterior(votes_at: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Probability of good: log odds of the prior and of each vote cast."""
+    z = np.log(PRIOR / (1 - PRIOR)) + np.asarray(votes_at) @ np.log(right / (1 - right))
+    return 1 / (1 + np.exp(-z))
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -159,9 +161,9 @@ def assess(docs: DataFrame) -> DataFrame:
     stats = materialize(stats, "quality-stats")
     names = [f"vote_{name}" for name in rules]
     rows = stats.groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
-    share, right = fit([(tuple(r[n] for n in names), r["count"]) for r in rows], len(names))
+    right = fit([(tuple(r[n] for n in names), r["count"]) for r in rows], len(names))
     known = [tuple(r[n] for n in names) for r in rows]
-    quality = posterior(np.array(known), share, right) if known else []
+    quality = posterior(np.array(known), right) if known else []
     spark = docs.sparkSession
     code = sum(((F.col(n) + 1) * 3**i for i, n in enumerate(names)), F.lit(0))
     made = spark.createDataFrame([(int(sum((v + 1) * 3**i for i, v in enumerate(p))), float(q)) for p, q in zip(known, quality, strict=True)], "_code int, quality double")

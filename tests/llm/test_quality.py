@@ -36,9 +36,9 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_em_finds_the_accurate_rules():
-    # Two rules that agree and one that votes at random.
-    patterns = [((1, 1, v), 300) for v in (-1, 1)] + [((-1, -1, v), 60) for v in (-1, 1)] + [((1, -1, 1), 5), ((-1, 1, -1), 5)]
-    share, right = quality.fit(patterns, 3)
-    assert 0.7 < share < 0.95
-    assert right[0, 1, 2] > 0.9 and right[1, 0, 0] > 0.8 and right[2, 1, 2] < 0.7
-    assert quality.posterior([(1, 1, -1)], share, right)[0] > 0.9 > 0.1 > quality.posterior([(-1, -1, 1)], share, right)[0]
+    # Two rules that agree, and one that votes at random.
+    patterns = [((1, 1, v), 300) for v in (-1, 1)] + [((-1, -1, v), 60) for v in (-1, 1)] + [((1, -1, 1), 5), ((-1, 1, -1), 5), ((0, 0, 0), 20)]
+    right = quality.fit(patterns, 3)
+    assert right[0] > 0.9 and right[1] > 0.9 and right[2] < 0.6
+    assert quality.posterior([(1, 1, -1)], right)[0] > 0.9 > 0.1 > quality.posterior([(-1, -1, 1)], right)[0]
+    assert quality.posterior([(0, 0, 0)], right)[0] == 0.5 and (quality.fit([], 2) == quality.ACCURACY).all()
