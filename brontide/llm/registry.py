@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from brontide.llm import bpe, decontaminate, quality, toxicity, url_filter
+from brontide.llm import bpe, decontaminate, quality, toxicity, url_filter, wavelet
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality.op2_quality_rules,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op6_wavelet_files": wavelet.op6_wavelet_files,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_byte_bpe": bpe.op10_byte_bpe,
