@@ -47,30 +47,42 @@ def shard_of(n: int, column: str = "doc_id") -> Column:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Byte planes of unsigned integers, least first; only as many planes as the largest value needs."""
+    """The least value, then byte planes of what is above it; only as many planes as the largest needs."""
     values = np.ascontiguousarray(values, dtype="<u8")
     if not len(values):
         return b""
-    width = max(1, (int(values.max()).bit_length() + 7) // 8)
-    return values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    base = values.min()
+    values = values - base
+    width = (int(values.max()).bit_length() + 7) // 8
+    return base.tobytes() + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, U64)
-    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+    planes = np.frombuffer(data, np.uint8, offset=8).reshape(-1, n)
     out = np.zeros((n, 8), np.uint8)
     out[:, : len(planes)] = planes.T
-    return out.view("<u8").ravel()
+    return out.view("<u8").ravel() + np.frombuffer(data, "<u8", 1)[0]
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    keys = np.asarray(keys, U64)
-    return pack(np.diff(keys, prepend=U64(0)))
+    """The first key, then the packed differences."""
+    keys = np.asarray(keys, "<u8")
+    return keys[:1].tobytes() + pack(np.diff(keys))
 
 
 def unpack_sorted(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(unpack(data, n), dtype=U64)
+    out = np.empty(n, U64)
+    if n:
+        out[0] = np.frombuffer(data, "<u8", 1)[0]
+        out[1:] = unpack(data[8:], n - 1)
+    return np.cumsum(out, dtype=U64)
+
+
+def signed_order(ids: np.ndarray) -> np.ndarray:
+    """Signed integers as unsigned ones in the same order, and back."""
+    return np.asarray(ids).astype(np.int64).view(U64) ^ U64(1 << 63)
 
 
 def range_of(keys: np.ndarray, n_ranges: int) -> np.ndarray:
@@ -78,21 +90,21 @@ def range_of(keys: np.ndarray, n_ranges: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(n_ranges)) >> U64(32)
 
 
-def slices(keys: np.ndarray, n_ranges: int):
-    """(range, first, last) of the sorted keys."""
-    at = range_of(keys, n_ranges).astype(np.int64)
+def slices(keys: np.ndarray, n_ranges: int, bits: int = 64):
+    """(range, first, last) of the sorted keys, which have so many bits."""
+    at = range_of(keys << U64(64 - bits), n_ranges).astype(np.int64)
     used, first = np.unique(at, return_index=True)
     for r, a, b in zip(used, first, np.append(first[1:], len(keys)), strict=True):
         yield int(r), int(a), int(b)
 
 
-REQUEST = "kind int, rng int, shard int, n int, keys binary, more binary, extra binary"
-ANSWER = "kind int, rng int, shard int, n int, data binary"
+REQUEST = "kind int, rng int, shard int, n long, keys binary, more binary, extra binary"
+ANSWER = "kind int, rng int, shard int, n long, data binary"
 
 
-def requests(kind: int, shard: int, keys: np.ndarray, n_ranges: int, more: np.ndarray | None = None, extra: np.ndarray | None = None):
-    """Rows of REQUEST for sorted distinct keys; ``more`` and ``extra`` are unsigned columns beside them."""
-    for r, a, b in slices(keys, n_ranges):
+def requests(kind: int, shard: int, keys: np.ndarray, n_ranges: int, more: np.ndarray | None = None, extra: np.ndarray | None = None, bits: int = 64):
+    """Rows of REQUEST for sorted distinct keys of so many bits; ``more`` and ``extra`` are unsigned columns beside them."""
+    for r, a, b in slices(keys, n_ranges, bits):
         yield kind, r, shard, b - a, pack_sorted(keys[a:b]), None if more is None else pack(more[a:b]), None if extra is None else pack(extra[a:b])
 
 
@@ -101,12 +113,8 @@ def to_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-REQUEST_ARROW = pa.schema([("kind", pa.int32()), ("rng", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("extra", pa.binary())])
-ANSWER_ARROW = pa.schema([("kind", pa.int32()), ("rng", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
-
-
-def parts(table: pa.Table) -> list[dict]:
-    return table.to_pylist()
+REQUEST_ARROW = pa.schema([("kind", pa.int32()), ("rng", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("extra", pa.binary())])
+ANSWER_ARROW = pa.schema([("kind", pa.int32()), ("rng", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
 
 def answers_of(table: pa.Table, kind: int) -> np.ndarray:
@@ -115,16 +123,21 @@ def answers_of(table: pa.Table, kind: int) -> np.ndarray:
     return np.concatenate([unpack(r["data"], r["n"]) for r in rows]) if rows else np.zeros(0, U64)
 
 
-def ask(requests_df: DataFrame, merge, conf_partitions: int | None = None) -> DataFrame:
-    """Answers of all ranges: ``merge(kind, list of (keys, more, extra))`` returns an array for each part."""
+def ask(requests_df: DataFrame, merge, facts=None) -> DataFrame:
+    """Answers of all ranges: ``merge(kind, list of (keys, more, extra))`` returns an array for each part.
+
+    ``facts(kind, parts)`` may return numbers about the range's keys; they come as rows of shard -1.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         by_kind: dict[int, list[dict]] = {}
-        for r in parts(table):
+        for r in table.to_pylist():
             by_kind.setdefault(r["kind"], []).append(r)
         rows = []
         for kind, rs in by_kind.items():
             given = [(unpack_sorted(r["keys"], r["n"]), unpack(r["more"], r["n"]) if r["more"] is not None else None, unpack(r["extra"], r["n"]) if r["extra"] is not None else None) for r in rs]
+            if facts:
+                rows.append((kind, rs[0]["rng"], -1, 0, np.array(facts(kind, given), "<i8").tobytes()))
             for r, found in zip(rs, merge(kind, given), strict=True):
                 rows.append((kind, r["rng"], r["shard"], r["n"], pack(found)))
         return to_table(rows, ANSWER_ARROW)
@@ -154,3 +167,9 @@ def merged_least(given: list[tuple]) -> list[np.ndarray]:
     out = np.empty(len(keys), U64)
     out[order] = least
     return np.split(out, np.cumsum([len(x) for x, _, _ in given])[:-1])
+
+
+def sharded(docs: DataFrame, n: int, *columns: Column) -> DataFrame:
+    """(shard, doc_id, text, columns): what the operators group and cogroup by shard."""
+    ids, text = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return docs.select(shard_of(n).alias("shard"), ids, text, *columns)

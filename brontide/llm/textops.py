@@ -22,7 +22,7 @@ LOWER[0x41:0x5B] += 32
 BYTE_MUL = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WORD_MUL = (0xBF58476D1CE4E5BD, 0x94D049BB133111E5)
 #: A batch is worked on in pieces of about so many bytes of text.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -120,3 +120,17 @@ def window_starts(bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     return bounds[rows] + at, rows
+
+
+def hashed_words(raw: np.ndarray, offsets: np.ndarray, n_hashes: int = 1, lower: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """(``n_hashes`` hashes of every word, offsets of each row's words) of a whole batch, piece by piece."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, U64)] for _ in range(n_hashes)]
+    counts = [np.zeros(1, np.int64)]
+    for a, b in pieces(offsets):
+        part, inner = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        starts, ends, rows = word_spans(part, inner)
+        counts.append(np.bincount(rows, minlength=b - a))
+        text = LOWER[part] if lower else part
+        for i in range(n_hashes):
+            found[i].append(word_hashes(text, starts, ends, i))
+    return [np.concatenate(f) for f in found], np.cumsum(np.concatenate(counts))
