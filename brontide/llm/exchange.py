@@ -94,7 +94,7 @@ def slices(keys: np.ndarray, n_ranges: int, bits: int = 64):
     """(range, first, last) of the sorted keys, which have so many bits."""
     at = range_of(keys << U64(64 - bits), n_ranges).astype(np.int64)
     used, first = np.unique(at, return_index=True)
-    for r, a, b in zip(used, first, np.append(first[1:], len(keys)), strict=True):
+    for r, a, b in zip(used, first, [*first[1:], len(keys)][: len(used)], strict=True):
         yield int(r), int(a), int(b)
 
 

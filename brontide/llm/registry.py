@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from brontide.llm import bpe, decontaminate, ngram_lm, quality, toxicity, url_filter, wavelet
+from brontide.llm import bpe, decontaminate, ngram_lm, quality, substring_dedup, toxicity, url_filter, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_deleted_interpolation": ngram_lm.op1_deleted_interpolation,
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_wavelet_files": wavelet.op6_wavelet_files,
         "op7_decontaminate": decontaminate.op7_decontaminate,
