@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brontide.llm import bpe, decontaminate, ngram_lm, quality, substring_dedup, toxicity, url_filter, wavelet
+from brontide.llm import bpe, decontaminate, jaccard_join, ngram_lm, quality, substring_dedup, toxicity, url_filter, wavelet
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_wavelet_files": wavelet.op6_wavelet_files,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from brontide.ship import ship
 
 _OWN: dict[str, str] = {}
+#: Arrow batches stay small where texts are long.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,4 +38,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
