@@ -215,6 +215,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     return out if out is not None else spark.createDataFrame([], FOUND)
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """``docs`` without those that hold an item, one filtering pass for each block of items."""
+    spark, at = docs.sparkSession, docs.columns.index("text")
+    for ids, items in blocks(benchmark):
+        shared = spark.sparkContext.broadcast((ids, items))  # at most BLOCK_CHARS and one item more
+
+        def run(batches, shared=shared):
+            block = Items(*shared.value, rate)
+            for batch in batches:
+                raw, offsets = T.string_buffers(batch.column(at))
+                clean = np.ones(batch.num_rows, bool)
+                for a, b in T.pieces(offsets, PIECE_BYTES):
+                    for r, *_ in find(block, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                        clean[a + r] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of document and item with the edits and the region's place."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -25,8 +25,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from brontide.llm import exchange as X
 from brontide.llm import textops as T
@@ -156,5 +159,36 @@ def deduplicate(docs: DataFrame, size: int = WINDOW, with_text: bool = False) ->
     return found.applyInArrow(_remove(bits, size, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
+def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``docs`` without repeated words: a text that loses words becomes its kept words joined by spaces.
+
+    A text that loses all words is dropped; a text that loses none stays as it is. The rows'
+    other columns travel with the text, so nothing is joined back.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    n_bytes = X.text_bytes(docs)
+    n, bits = X.shard_count(n_bytes), sketch_bits(n_bytes)
+    dealt = X.sharded(docs, n, F.struct(F.col("text").isNull().alias("_null_text"), *(F.col(f"`{c}`") for c in rest)).alias("rest"))
+    by_shard = dealt.groupBy("shard")
+    sketch = X.ask(by_shard.applyInArrow(_send_sketch(n, bits, size), X.REQUEST), _merge)
+    exact = X.ask(by_shard.cogroup(sketch.groupBy("shard")).applyInArrow(_send_suspects(n, bits, size), X.REQUEST), _merge)
+    remove = _remove(bits, size, True)
+    kind = dealt.schema["rest"].dataType
+    schema = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("text", StringType()), StructField("rest", kind)])
+    arrow = to_arrow_schema(schema)
+
+    def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return arrow.empty_table()
+        found = remove(t, answers)
+        return pa.table([found["doc_id"], found["n_words"], found["n_removed"], pc.coalesce(found["kept_text"], t["text"]), t["rest"]], schema=arrow)
+
+    out = by_shard.cogroup(sketch.unionAll(exact).groupBy("shard")).applyInArrow(run, schema)
+    out = out.where("n_removed = 0 OR n_removed < n_words")
+    text = F.when(F.col("rest._null_text"), None).otherwise(F.col("text"))
+    columns = {c: F.col(f"rest.`{c}`") for c in rest} | {"doc_id": F.col("doc_id"), "text": text}
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
