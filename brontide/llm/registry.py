@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brontide.llm import bpe, decontaminate, jaccard_join, ngram_lm, quality, substring_dedup, toxicity, url_filter, wavelet
+from brontide.llm import bpe, decontaminate, jaccard_join, license_scan, ngram_lm, quality, substring_dedup, toxicity, url_filter, wavelet
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op6_wavelet_files": wavelet.op6_wavelet_files,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
