@@ -65,15 +65,17 @@ conditions("P23_mixed_widths", "i2 + i4 > 100", "i8 - i2 > i4", "i2 < i8")
 J = "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"
 add("J00_hash_join", J, lambda t: t.orders.join(ops.small(t.customer), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name"))
 add("J01_inner_keys", "SELECT count(*) AS n, sum(a.l_linenumber)::BIGINT AS s FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_suppkey = b.l_suppkey", lambda t: t.lineitem.join(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), ["l_orderkey", "l_linenumber", "l_suppkey"]).agg(F.count("*").alias("n"), big("l_linenumber").alias("s")))
-CO, ON = "customer LEFT JOIN orders ON c_custkey = o_custkey", F.col("c_custkey") == F.col("o_custkey")
+CO = "customer LEFT JOIN orders ON c_custkey = o_custkey"
+# Columns and windows need a session, so they are made when a query is built.
+on = lambda: F.col("c_custkey") == F.col("o_custkey")
 few = lambda t: t.orders.where("o_orderkey % 7 = 0")
-add("J02_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 = 0) ON c_custkey = o_custkey", lambda t: t.customer.join(few(t), ON, "left").select("c_custkey", "o_orderkey"))
-add("J03_right", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey < 500) RIGHT JOIN orders ON c_custkey = o_custkey", lambda t: t.customer.where("c_custkey < 500").join(t.orders, ON, "right").select("c_custkey", "o_orderkey"))
-add("J04_full", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey < 500) FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 7 = 0) ON c_custkey = o_custkey", lambda t: t.customer.where("c_custkey < 500").join(few(t), ON, "full").select("c_custkey", "o_orderkey"))
-add("J05_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)", lambda t: t.customer.join(few(t), ON, "left_semi").select("c_custkey"))
+add("J02_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 = 0) ON c_custkey = o_custkey", lambda t: t.customer.join(few(t), on(), "left").select("c_custkey", "o_orderkey"))
+add("J03_right", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey < 500) RIGHT JOIN orders ON c_custkey = o_custkey", lambda t: t.customer.where("c_custkey < 500").join(t.orders, on(), "right").select("c_custkey", "o_orderkey"))
+add("J04_full", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey < 500) FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 7 = 0) ON c_custkey = o_custkey", lambda t: t.customer.where("c_custkey < 500").join(few(t), on(), "full").select("c_custkey", "o_orderkey"))
+add("J05_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)", lambda t: t.customer.join(few(t), on(), "left_semi").select("c_custkey"))
 add("J05_in_subquery", "SELECT count(*) AS n FROM cov WHERE i4 IN (SELECT i4 FROM cov WHERE i2 = 3)", lambda t: t.sql("SELECT count(*) AS n FROM {cov} WHERE i4 IN (SELECT i4 FROM {cov} WHERE i2 = 3)"))
-add("J06_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", lambda t: t.customer.join(t.orders, ON, "left_anti").select("c_custkey"))
-add("J07_right_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)", lambda t: ops.right_anti(t.customer, few(t), ON).select("c_custkey"))
+add("J06_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", lambda t: t.customer.join(t.orders, on(), "left_anti").select("c_custkey"))
+add("J07_right_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)", lambda t: ops.right_anti(t.customer, few(t), on()).select("c_custkey"))
 add("J08_not_in", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 8)", lambda t: ops.not_in(t.nation, "n_nationkey", t.supplier.where("s_suppkey < 8"), "s_nationkey").select("n_nationkey"))
 add("J08_not_in_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM supplier)", lambda t: ops.not_in(t.nation, "n_nationkey", t.supplier.selectExpr("nullif(s_nationkey, 3) AS k"), "k").select("n_nationkey"))
 add("J09_right_semi", "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)", lambda t: t.nation.join(t.customer, F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").select("n_name"))
@@ -82,15 +84,15 @@ for key in ("t", "bc", "n", "f8", "d"):
 add("J11_expression_keys", "SELECT count(*) AS c FROM cov a JOIN cov b ON a.i4 = b.i4 + 1 AND lower(a.bc) = lower(b.bc)", lambda t: t.cov.alias("a").join(t.cov.alias("b"), F.expr("a.i4 = b.i4 + 1 AND lower(a.bc) = lower(b.bc)")).agg(F.count("*").alias("c")))
 add("J12_residual", "SELECT count(*) AS c FROM cov a JOIN cov b ON a.i4 = b.i4 AND a.i2 < b.i2 AND a.f8 + b.f8 > 1000", lambda t: t.cov.alias("a").join(t.cov.alias("b"), F.expr("a.i4 = b.i4 AND a.i2 < b.i2 AND a.f8 + b.f8 > 1000")).agg(F.count("*").alias("c")))
 add("J12_left_residual", "SELECT count(*) AS c, count(b.i4) AS m FROM cov a LEFT JOIN cov b ON a.i4 = b.i4 AND b.b AND a.i2 < b.i2", lambda t: t.cov.alias("a").join(t.cov.alias("b"), F.expr("a.i4 = b.i4 AND b.b AND a.i2 < b.i2"), "left").agg(F.count("*").alias("c"), F.count("b.i4").alias("m")))
-add("J13_outer_filter", f"SELECT c_custkey FROM {CO} WHERE o_orderkey IS NULL OR o_totalprice > 300000", lambda t: t.customer.join(t.orders, ON, "left").where("o_orderkey IS NULL OR o_totalprice > 300000").select("c_custkey"))
-add("J14_chain", "SELECT r_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1", lambda t: t.lineitem.select("l_orderkey").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, ON).join(ops.small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(ops.small(t.region), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n")))
+add("J13_outer_filter", f"SELECT c_custkey FROM {CO} WHERE o_orderkey IS NULL OR o_totalprice > 300000", lambda t: t.customer.join(t.orders, on(), "left").where("o_orderkey IS NULL OR o_totalprice > 300000").select("c_custkey"))
+add("J14_chain", "SELECT r_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1", lambda t: t.lineitem.select("l_orderkey").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, on()).join(ops.small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(ops.small(t.region), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n")))
 add("J15_duplicate_keys", "SELECT a.i2, count(*) AS c FROM (SELECT i2 FROM cov WHERE i4 < 500) a JOIN (SELECT i2 FROM cov WHERE i4 < 500) b ON a.i2 = b.i2 GROUP BY 1", lambda t: t.cov.where("i4 < 500").select("i2").join(t.cov.where("i4 < 500").select("i2"), "i2").groupBy("i2").agg(F.count("*").alias("c")))
 add("J16_skewed_key", "SELECT count(*) AS c FROM (SELECT CASE WHEN i4 % 3 = 0 THEN 1 ELSE i4 END AS k FROM cov) a JOIN (SELECT DISTINCT i4 AS k FROM cov) b USING (k)", lambda t: ops.salted_join(t.cov.selectExpr("CASE WHEN i4 % 3 = 0 THEN 1 ELSE i4 END AS k"), t.cov.selectExpr("i4 AS k").distinct(), "k", 4).agg(F.count("*").alias("c")))
 add("J17_lookup_join", "SELECT p_name, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 40", lambda t: t.lineitem.where("l_orderkey < 40").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("p_name", "l_orderkey"))
 add("J18_key_filter", "SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND o_custkey < 20", lambda t: t.lineitem.join(t.orders.where("o_orderstatus = 'P' AND o_custkey < 20"), F.col("l_orderkey") == F.col("o_orderkey")).agg(F.count("*").alias("n")))
 add("J19_pruning_join", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IN (SELECT max(o_orderpriority) FROM orders) GROUP BY 1", lambda t: t.sql("SELECT o_orderpriority, count(*) AS n FROM {orders} WHERE o_orderpriority IN (SELECT max(o_orderpriority) FROM {orders}) GROUP BY 1"))
-add("J20_parallel_join", "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1", lambda t: t.orders.join(t.customer.hint("shuffle_hash"), ON).groupBy("c_mktsegment").agg(F.count("*").alias("n")))
-add("J21_merge_join", J, lambda t: t.orders.join(t.customer.hint("merge"), ON).select("o_orderkey", "c_name"))
+add("J20_parallel_join", "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1", lambda t: t.orders.join(t.customer.hint("shuffle_hash"), on()).groupBy("c_mktsegment").agg(F.count("*").alias("n")))
+add("J21_merge_join", J, lambda t: t.orders.join(t.customer.hint("merge"), on()).select("o_orderkey", "c_name"))
 add("J22_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey", lambda t: t.nation.selectExpr("n_nationkey AS a").join(ops.small(t.nation.selectExpr("n_nationkey AS b")), F.col("a") < F.col("b")))
 add("J22_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation", lambda t: t.region.select("r_name").crossJoin(ops.small(t.nation.select("n_name"))))
 add("J23_lateral", "SELECT c_custkey, o.n, o.m FROM customer, LATERAL (SELECT count(*) AS n, max(o_orderkey) AS m FROM orders WHERE o_custkey = c_custkey) o", lambda t: t.sql("SELECT c_custkey, o.n, o.m FROM {customer} c, LATERAL (SELECT count(*) AS n, max(o_orderkey) AS m FROM {orders} WHERE o_custkey = c.c_custkey) o"))
@@ -130,16 +132,16 @@ add("A22_percentiles", "SELECT b, percentile_cont(0.5) WITHIN GROUP (ORDER BY f8
 add("A23_two_phase", "SELECT t, count(*) AS n FROM cov GROUP BY 1", lambda t: t.cov.groupBy("t").agg(F.count("*").alias("n")))
 add("A24_sorted_groups", "SELECT vc, max(t) AS m FROM cov GROUP BY 1 ORDER BY 1", lambda t: t.cov.groupBy("vc").agg(F.max("t").alias("m")).orderBy("vc"))
 add("A25_many_groups", "SELECT i8 AS k, count(*) AS n, min(f8) AS m FROM cov GROUP BY 1", lambda t: t.cov.groupBy(F.col("i8").alias("k")).agg(F.count("*").alias("n"), F.min("f8").alias("m")))
-add("A26_key_dependency", "SELECT c_custkey, c_name, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2", lambda t: t.customer.join(t.orders, ON, "left").groupBy("c_custkey").agg(F.first("c_name").alias("c_name"), F.count("o_orderkey").alias("n")))
+add("A26_key_dependency", "SELECT c_custkey, c_name, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2", lambda t: t.customer.join(t.orders, on(), "left").groupBy("c_custkey").agg(F.first("c_name").alias("c_name"), F.count("o_orderkey").alias("n")))
 add("A27_equal_forms", "SELECT n * 1.00 = n AS e, count(*) AS c FROM cov GROUP BY 1", lambda t: t.cov.groupBy(F.expr("n * 1.00 = n").alias("e")).agg(F.count("*").alias("c")))
 
 # Windows
-wi = W.partitionBy("i2").orderBy("i8")
-add("W01_ranks", "SELECT i8, row_number() OVER w AS r, rank() OVER (PARTITION BY i2 ORDER BY i4) AS k, dense_rank() OVER (PARTITION BY i2 ORDER BY i4) AS e, ntile(4) OVER w AS q, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM cov WINDOW w AS (PARTITION BY i2 ORDER BY i8)", lambda t: t.cov.select("i8", F.row_number().over(wi).cast("bigint").alias("r"), F.rank().over(W.partitionBy("i2").orderBy("i4")).cast("bigint").alias("k"), F.dense_rank().over(W.partitionBy("i2").orderBy("i4")).cast("bigint").alias("e"), F.ntile(4).over(wi).cast("bigint").alias("q"), F.round(F.percent_rank().over(wi), 9).alias("p"), F.round(F.cume_dist().over(wi), 9).alias("c")))
-wf = wi.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-add("W02_offsets", "SELECT i8, lag(i4) OVER w AS a, lead(i4, 2, -1) OVER w AS b, first_value(i4) OVER w AS c, last_value(i4) OVER (PARTITION BY i2 ORDER BY i8 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS d, nth_value(i4, 2) OVER (PARTITION BY i2 ORDER BY i8 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e FROM cov WINDOW w AS (PARTITION BY i2 ORDER BY i8)", lambda t: t.cov.select("i8", F.lag("i4").over(wi).alias("a"), F.lead("i4", 2, -1).over(wi).alias("b"), F.first("i4").over(wi).alias("c"), F.last("i4").over(wf).alias("d"), F.nth_value("i4", 2).over(wf).alias("e")))
+wi = lambda: W.partitionBy("i2").orderBy("i8")
+add("W01_ranks", "SELECT i8, row_number() OVER w AS r, rank() OVER (PARTITION BY i2 ORDER BY i4) AS k, dense_rank() OVER (PARTITION BY i2 ORDER BY i4) AS e, ntile(4) OVER w AS q, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM cov WINDOW w AS (PARTITION BY i2 ORDER BY i8)", lambda t: t.cov.select("i8", F.row_number().over(wi()).cast("bigint").alias("r"), F.rank().over(W.partitionBy("i2").orderBy("i4")).cast("bigint").alias("k"), F.dense_rank().over(W.partitionBy("i2").orderBy("i4")).cast("bigint").alias("e"), F.ntile(4).over(wi()).cast("bigint").alias("q"), F.round(F.percent_rank().over(wi()), 9).alias("p"), F.round(F.cume_dist().over(wi()), 9).alias("c")))
+wf = lambda: wi().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+add("W02_offsets", "SELECT i8, lag(i4) OVER w AS a, lead(i4, 2, -1) OVER w AS b, first_value(i4) OVER w AS c, last_value(i4) OVER (PARTITION BY i2 ORDER BY i8 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS d, nth_value(i4, 2) OVER (PARTITION BY i2 ORDER BY i8 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e FROM cov WINDOW w AS (PARTITION BY i2 ORDER BY i8)", lambda t: t.cov.select("i8", F.lag("i4").over(wi()).alias("a"), F.lead("i4", 2, -1).over(wi()).alias("b"), F.first("i4").over(wi()).alias("c"), F.last("i4").over(wf()).alias("d"), F.nth_value("i4", 2).over(wf()).alias("e")))
 add("W03_partition_sum", "SELECT i8, (sum(i4) OVER (PARTITION BY i2))::BIGINT AS s, count(*) OVER (PARTITION BY vc) AS n FROM cov", lambda t: t.cov.select("i8", F.sum("i4").over(W.partitionBy("i2")).alias("s"), F.count("*").over(W.partitionBy("vc")).alias("n")))
-add("W04_frames", "SELECT i8, (sum(i4) OVER (PARTITION BY i2 ORDER BY i8 ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING))::BIGINT AS a, (sum(i4) OVER (PARTITION BY i2 ORDER BY i4 RANGE BETWEEN 50 PRECEDING AND CURRENT ROW))::BIGINT AS b FROM cov", lambda t: t.cov.select("i8", F.sum("i4").over(wi.rowsBetween(-2, 1)).alias("a"), F.sum("i4").over(W.partitionBy("i2").orderBy("i4").rangeBetween(-50, 0)).alias("b")))
+add("W04_frames", "SELECT i8, (sum(i4) OVER (PARTITION BY i2 ORDER BY i8 ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING))::BIGINT AS a, (sum(i4) OVER (PARTITION BY i2 ORDER BY i4 RANGE BETWEEN 50 PRECEDING AND CURRENT ROW))::BIGINT AS b FROM cov", lambda t: t.cov.select("i8", F.sum("i4").over(wi().rowsBetween(-2, 1)).alias("a"), F.sum("i4").over(W.partitionBy("i2").orderBy("i4").rangeBetween(-50, 0)).alias("b")))
 add("W05_groups", "SELECT i8, (sum(i4) OVER (PARTITION BY i2 ORDER BY i4 GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW))::BIGINT AS s FROM cov", lambda t: ops.groups_frame(t.cov.select("i8", "i2", "i4"), ["i2"], "i4", "i4", 1, "s").select("i8", "s"))
 add("W06_filter", "SELECT i8, min(i4) FILTER (WHERE b) OVER (PARTITION BY i2) AS m FROM cov", lambda t: t.cov.select("i8", F.min(F.when(F.col("b"), F.col("i4"))).over(W.partitionBy("i2")).alias("m")))
 

@@ -48,3 +48,19 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_import_needs_no_session_and_no_training_data_part(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for name in ("brontide", "__spark_entry__.py"):
+        copy = shutil.copytree if (root / name).is_dir() else shutil.copy
+        copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), len(e.oracle_sql()))"
+    shutil.rmtree(tmp_path / "brontide/llm", ignore_errors=True)
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == int(out[2]) == len(QUERIES) and out[1] == "False"
