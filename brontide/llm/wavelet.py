@@ -42,8 +42,9 @@ END_ID = 2
 NO_ID = -(1 << 63)
 #: Bytes of text of a shard: with about 3 bytes a token, some 3 million tokens.
 SHARD_BYTES = 8 << 20
-MEMO = 200_000
-TEXTS = 64
+#: Segments kept in a worker before it starts anew, and texts cut and encoded together.
+MEMO = 700_000
+TEXTS = 256
 
 
 def plane_bits(ids: np.ndarray) -> int:
@@ -52,12 +53,13 @@ def plane_bits(ids: np.ndarray) -> int:
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """A file of these tokens; ``lengths`` tells how many belong to each document."""
-    now = np.asarray(ids, np.uint32)
-    planes = plane_bits(now)
+    planes = plane_bits(np.asarray(ids))
+    kind = np.uint16 if planes <= 16 else np.uint32
+    now = np.asarray(ids).astype(kind)
     out, zeros, directory = [], [], []
     size = BLOCK_BITS
     for level in range(planes - 1, -1, -1):
-        bits = (now >> np.uint32(level) & np.uint32(1)).astype(bool)
+        bits = (now & kind(1 << level)) != 0
         ones, blocks = 0, []
         for a in range(0, len(bits), size):
             part = bits[a : a + size]
@@ -151,19 +153,25 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All tokens in order: the planes are undone from the last to the first."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for plane in range(self.planes - 1, -1, -1):
             bits = np.concatenate([self._block(plane, b) for b in range(self.blocks)]).astype(bool) if self.blocks else np.zeros(0, bool)
             z = int(self.zeros[plane])
-            back = np.empty(self.n, np.uint32)
+            back = np.empty(self.n, kind)
             back[~bits] = now[:z]
-            back[bits] = now[z:] | np.uint32(1 << (self.planes - 1 - plane))
+            back[bits] = now[z:] | kind(1 << (self.planes - 1 - plane))
             now = back
-        return now
+        return now.astype(np.uint32)
 
 
 class Encoder:
-    """The tokenizers library with a memo of segments."""
+    """The tokenizers library with a memo of segments.
+
+    A text is cut at its spaces.  A segment is safe if it isn't empty, neither starts nor
+    ends with a blank and holds no two in a row: then no pre-token reaches over a cut.
+    A text with an unsafe segment is encoded whole.
+    """
 
     def __init__(self, path: str):
         import os
@@ -173,41 +181,50 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.blank_run = re.compile(r"\s\s").search
-        self.plain = re.compile(r" ?\S+").fullmatch
+        self.safe = re.compile(r"\S+(\s\S+)*").fullmatch
         self.line_end = self.library.encode("\n", add_special_tokens=False).ids
-        self.memo: dict[str, bytes] = {}
+        #: Ids of a segment that starts a text, and of one after a space; None if it is unsafe.
+        self.first: dict[str, bytes | None] = {}
+        self.after: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Segments without a blank (but a space first) are encoded as one text of lines: a line end is a pre-token, and a token, of its own."""
-        joined = [s for s in new if self.plain(s)]
-        for a in range(0, len(joined), 2000):
-            part = joined[a : a + 2000]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn(self, memo: dict, new: list[str], lead: str) -> None:
+        """Segments without a blank are encoded as one text of lines: a line end is a pre-token, and a token, of its own."""
+        lone = [s for s in new if len(s.split()) == 1 and not s[0].isspace() and not s[-1].isspace()]
+        for a in range(0, len(lone), 2000):
+            part = lone[a : a + 2000]
+            ids = np.array(self.library.encode_batch_fast(["\n".join([lead + s for s in part])], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.line_end[0])
             if len(self.line_end) != 1 or len(cuts) != len(part) - 1:
-                self.memo.update(zip(part, self._ids(part), strict=True))
                 continue
-            for s, first, last in zip(part, np.append(0, cuts + 1), np.append(cuts, len(ids)), strict=True):
-                self.memo[s] = ids[first:last].tobytes()
-        rest = [s for s in new if s not in self.memo]
-        self.memo.update(zip(rest, self._ids(rest), strict=True))
+            data = ids.tobytes()
+            ends = [*(4 * cuts).tolist(), len(data)]
+            begin = 0
+            for s, end in zip(part, ends, strict=True):
+                memo[s] = data[begin:end]
+                begin = end + 4
+        rest = [s for s in new if s not in memo]
+        safe = [s for s in rest if self.safe(s)]
+        memo.update(dict.fromkeys(rest))
+        memo.update(zip(safe, self._ids([lead + s for s in safe]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if self.blank_run(t) else t.split(" ") for t in texts]
-        cut = [c and [c[0], *[" " + s for s in c[1:]]] for c in cut]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        memo[""] = b""
-        new = {s: None for c in cut if c for s in c if s not in memo}
-        self._learn(list(new))
-        whole = iter(self._ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join([memo[s] for s in c]) for c in cut]
+        cut = [t.split(" ") for t in texts]
+        if len(self.after) > MEMO:
+            self.after.clear()
+            self.first.clear()
+        heads = [c.pop(0) for c in cut]
+        self._learn(self.first, list(set(heads) - self.first.keys()), "")
+        self._learn(self.after, list(set().union(*cut) - self.after.keys()), " ")
+        self.first[""] = b""
+        out, get = [], self.after.__getitem__
+        for text, head, segments in zip(texts, heads, cut, strict=True):
+            parts = [self.first[head], *map(get, segments)]
+            out.append(self._ids([text])[0] if None in parts else b"".join(parts))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
