@@ -19,10 +19,11 @@ Before that, a set that links with another has at least 75 % of its shingles in
 with fewer shingles that a merged count-min row estimates to occur twice are out; the
 estimate is never too low.
 
-Links are verified exactly, never by all pairs of a group: in each signature's
-bucket one pivot is compared with the others, groups are merged by
-connected components, and only buckets whose members lie in different groups
-go to a next round, with twice as many pivots of the rarer groups.
+Links are verified exactly, never by all pairs of a group: the least document of each
+signature's bucket is its pivot and is compared with the others, and connected
+components are formed.  What is then outside of its pivot's component is compared
+with all of the pivot's documents in blocks of BLOCK by BLOCK sets, which give at most one link to each
+component.
 
 All exchanges are those of ``exchange`` (a hot set or signature is one entry a shard) or joins
 of representatives that Spark can split; components stay distributed.
@@ -39,7 +40,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brontide.llm import exchange as X
@@ -53,6 +54,8 @@ N2, K_KEPT = 3, 2
 SPREAD, WORD_BYTES = 16, 6
 CLASS, SKETCH = 0, 1
 NO_ID = (1 << 63) - 1
+#: Documents of a pivot, and outsiders, that meet in one block.
+BLOCK = 512
 
 
 def shingle_sets(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,13 +114,13 @@ def _merge(kind: int, given: list[tuple]) -> list[np.ndarray]:
 
 
 #: A document with its class; ``shingles`` (packed) only of representatives that may link.
-SETS = "doc_id long, n_shingles long, rep long, shingles binary"
+SETS = "shard int, doc_id long, n_shingles long, rep long, shingles binary"
 
 
 def _receive(bits: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_shingles": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "shingles": pa.array([], pa.binary())})
+            return pa.table({"shard": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64()), "n_shingles": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "shingles": pa.array([], pa.binary())})
         found, bounds, _ = shingle_sets(t)
         a, b = set_hashes(found, bounds)
         sizes, ids = np.diff(bounds), _ids(t)
@@ -135,7 +138,7 @@ def _receive(bits: int):
         # Equal doc_ids may hold a class's least id twice; the class is then in it twice, which distinct() below mends.
         able = (sizes > 0) & (rep == ids) & (DEN * shared >= NUM * sizes)
         sets = [X.pack_sorted(found[bounds[i] : bounds[i + 1]]) if able[i] else None for i in range(t.num_rows)]
-        return pa.table({"doc_id": t["doc_id"], "n_shingles": pa.array(sizes), "rep": pa.array(rep), "shingles": pa.array(sets, pa.binary())})
+        return pa.table({"shard": t["shard"], "doc_id": t["doc_id"], "n_shingles": pa.array(sizes), "rep": pa.array(rep), "shingles": pa.array(sets, pa.binary())})
 
     return run
 
@@ -188,40 +191,79 @@ def signatures(found: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _signature_batches(batches):
-    for batch in batches:
-        docs, keys = [], []
-        for doc, size, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            s = signatures(X.unpack_sorted(data.as_py(), size))
-            docs.append(np.full(len(s), doc))
-            keys.append(s.view(np.int64))
-            if sum(map(len, docs)) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], names=["sig", "doc"])
-                docs, keys = [], []
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], names=["sig", "doc"])
+def _shard_signatures(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, doc_id) of all sets of a shard, sorted."""
+    docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, T.U64)]
+    for doc, size, data in zip(t["doc_id"].to_pylist(), t["n_shingles"].to_pylist(), t["shingles"], strict=True):
+        keys.append(signatures(X.unpack_sorted(data.as_py(), size)))
+        docs.append(np.full(len(keys[-1]), doc))
+    keys, docs = np.concatenate(keys), np.concatenate(docs)
+    order = np.lexsort((docs, keys))
+    return keys[order], docs[order]
+
+
+def _send_signatures(n_ranges: int):
+    def run(t: pa.Table) -> pa.Table:
+        keys, docs = _shard_signatures(t)
+        keys, first = np.unique(keys, return_index=True)
+        return X.to_table(list(X.requests(CLASS, t["shard"][0].as_py(), keys, n_ranges, X.signed_order(docs[first]))), X.REQUEST_ARROW)
+
+    return run
+
+
+def _pivots(t: pa.Table, answers: pa.Table) -> pa.Table:
+    """Distinct (a, b): b of this shard shares a signature whose least document is a."""
+    keys, docs = _shard_signatures(t)
+    _, at = np.unique(keys, return_inverse=True)
+    least = (X.answers_of(answers, CLASS)[at] ^ T.U64(1 << 63)).view(np.int64)
+    pairs = np.unique(np.stack([least, docs])[:, least != docs], axis=1)
+    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+
+VERIFIED = "a long, na long, b long, nb long, apart long"
 
 
 def _verify_batches(batches):
-    """Pairs whose sets (columns sa, na, sb, nb) link."""
+    """``apart``: the size of the symmetric difference of each pair's sets."""
     for batch in batches:
-        keep = []
+        apart = []
         cache: tuple = (None, None)
         for a, na, sa, nb, sb in zip(*(batch.column(c).to_pylist() for c in ("a", "na", "sa", "nb", "sb")), strict=True):
             if cache[0] != a:
                 cache = (a, X.unpack_sorted(sa, na))
-            both = len(np.intersect1d(cache[1], X.unpack_sorted(sb, nb), assume_unique=True))
-            keep.append(DEN * both >= NUM * (na + nb - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            apart.append(na + nb - 2 * len(np.intersect1d(cache[1], X.unpack_sorted(sb, nb), assume_unique=True)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "na", "b", "nb")), pa.array(apart, pa.int64())], names=["a", "na", "b", "nb", "apart"])
+
+
+def _block_links(t: pa.Table) -> pa.Table:
+    """Links (a, b) between a block's outsiders and its documents of other components: one to each component."""
+    ids, comps, outside, sizes = (t[c].to_numpy() for c in ("b", "cb", "outside", "n_shingles"))
+    sets = [X.unpack_sorted(s.as_py(), int(n)) for s, n in zip(t["shingles"], sizes, strict=True)]
+    inner, outer = np.flatnonzero(~outside), np.flatnonzero(outside)
+    links: list[tuple[int, int]] = []
+    if len(inner):
+        keys, words = np.unique(np.concatenate([sets[i] for i in inner]), return_inverse=True)
+        firsts = np.concatenate([[0], np.cumsum(sizes[inner])[:-1]])
+        for x in outer:
+            at = np.minimum(np.searchsorted(keys, sets[x]), len(keys) - 1)
+            has = np.zeros(len(keys), np.int64)
+            has[at[keys[at] == sets[x]]] = 1
+            both = np.add.reduceat(has[words], firsts)
+            near = inner[(DEN * both >= NUM * (sizes[inner] + sizes[x] - both)) & (comps[inner] != comps[x])]
+            _, one = np.unique(comps[near], return_index=True)
+            links += [(int(ids[x]), int(ids[y])) for y in near[one]]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+#: |A & B| >= threshold * |A | B|, in terms of the symmetric difference.
+LINK = f"{DEN + NUM} * apart <= {DEN - NUM} * (na + nb)"
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link; a pair whose sizes forbid it is dropped first."""
-    sizes = sets.select("doc_id", "n_shingles")
-    fit = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where((DEN * F.col("na") >= NUM * F.col("nb")) & (DEN * F.col("nb") >= NUM * F.col("na")))
-    left = fit.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    return both.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_verify_batches, "a long, b long")
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) with their sets' sizes and exact symmetric difference."""
+    left = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb")), "b")
+    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa")), "a")
+    return both.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_verify_batches, VERIFIED)
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -250,32 +292,26 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(top, labels["comp"] == top["u"], "left").select("doc", F.coalesce("m", "comp").alias("comp"))
 
 
-def linked(sets: DataFrame) -> DataFrame:
-    """(doc, comp) of the representatives with shingles, by PartEnum and verification."""
+def linked(sets: DataFrame, n_shards: int) -> DataFrame:
+    """(doc, comp) of the representatives with shingles, by PartEnum and verification in two rounds."""
     labels = sets.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp"))
-    entries = sets.select("doc_id", "n_shingles", "shingles").mapInArrow(_signature_batches, "sig long, doc long")
-    # Round one: the least document of each bucket against the others.
-    least = entries.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("sig", "a")
-    buckets = materialize(entries.join(least, "sig").select("sig", "a", F.col("doc").alias("b")), "buckets")
-    pairs = materialize(buckets.where("a <> b").select("a", "b").distinct(), "pairs")
-    labels = materialize(components(verified(pairs, sets), labels), "components")
-    # A bucket is done once all its members are in its least document's group.
-    apart = pairs.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
-    unsettled = buckets.join(apart, ["a", "b"], "left_semi").select("sig").distinct()
-    members, pivots = materialize(buckets.join(unsettled, "sig", "left_semi").select("sig", F.col("b").alias("doc")), "open-buckets"), 1
-    while not members.isEmpty():
-        known = members.join(labels, "doc")
-        split = known.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-        known = known.join(split, "sig")
-        sizes = known.groupBy("sig", "comp").agg(F.count("*").alias("n"))
-        # Pivots come from the smaller groups; each is compared with the later members of other groups.
-        place = F.row_number().over(Window.partitionBy("sig").orderBy("n", "comp", "doc"))
-        ranked = materialize(known.join(sizes, ["sig", "comp"]).withColumn("place", place).select("sig", "doc", "comp", "place"), "open-buckets")
-        pivot = ranked.where(F.col("place") <= pivots).select("sig", F.col("doc").alias("p"), F.col("comp").alias("cp"), F.col("place").alias("pp"))
-        pairs = ranked.join(pivot, "sig").where("comp <> cp AND place > pp").select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct()
-        labels = materialize(components(verified(pairs, sets), labels), "components")
-        members, pivots = ranked.where(F.col("place") > pivots).select("sig", "doc"), pivots * 2
-    return labels
+    by_shard = sets.select("shard", "doc_id", "n_shingles", "shingles").groupBy("shard")
+    least = X.ask(by_shard.applyInArrow(_send_signatures(n_shards), X.REQUEST), lambda kind, given: X.merged_least(given))
+    pairs = by_shard.cogroup(least.groupBy("shard")).applyInArrow(_pivots, "a long, b long")
+    star = materialize(measured(pairs, sets), "pivot-pairs")
+    labels = materialize(components(star.where(LINK).select("a", "b"), labels), "components")
+    # Two documents of one bucket are with its pivot in ``star``. Those that its component doesn't hold
+    # (outsiders) are compared with all documents of the same pivot, in blocks of bounded size.
+    known = star.select("a", "b").join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").withColumn("outside", F.col("ca") != F.col("cb"))
+    known = materialize(known, "pivot-groups")
+    sizes = known.groupBy("a").agg(F.count("*").alias("m"), F.count_if("outside").alias("o")).where("o > 0")
+    sizes = sizes.select("a", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("m"), F.expr(f"(o + {BLOCK - 1}) div {BLOCK}").alias("o"))
+    dealt = known.join(sizes, "a").select("a", "b", "cb", "outside", "m", "o", F.expr("pmod(xxhash64(b), m)").alias("mc"), F.expr("pmod(xxhash64(b, 1), o)").alias("oc"))
+    inside = dealt.select("a", "b", "cb", F.lit(False).alias("outside"), "mc", F.explode(F.expr("sequence(0L, o - 1)")).alias("oc"))
+    outside = dealt.where("outside").select("a", "b", "cb", "outside", F.explode(F.expr("sequence(0L, m - 1)")).alias("mc"), "oc")
+    rows = inside.unionAll(outside).join(sets.select(F.col("doc_id").alias("b"), "n_shingles", "shingles"), "b")
+    edges = rows.groupBy("a", "oc", "mc").applyInArrow(_block_links, "a long, b long")
+    return components(edges, labels)
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -285,9 +321,9 @@ def joined(docs: DataFrame) -> DataFrame:
     by_shard = X.sharded(docs, n).groupBy("shard")
     answers = X.ask(by_shard.applyInArrow(_send(n, bits), X.REQUEST), _merge)
     found = materialize(by_shard.cogroup(answers.groupBy("shard")).applyInArrow(_receive(bits), SETS), "shingle-sets")
-    sets = found.where("shingles IS NOT NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", "shingles").dropDuplicates(["doc_id"])
+    sets = found.where("shingles IS NOT NULL").select("shard", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", "shingles").dropDuplicates(["doc_id"])
     sets = materialize(sets, "linkable-sets")
-    labels = linked(sets)
+    labels = linked(sets, n)
     out = found.select("doc_id", "n_shingles", "rep").join(labels.toDF("rep", "component_id"), "rep", "left")
     return out.select("doc_id", "n_shingles", "rep", F.nullif(F.coalesce("component_id", "rep"), F.lit(NO_ID)).alias("component_id"))
 

@@ -52,7 +52,8 @@ def near_copies(seed=2, groups=7, n=130):
 
 
 @pytest.mark.parametrize("rows", [cases.documents(), near_copies()], ids=["odd", "near"])
-def test_query_against_brute_force(spark, tmp_path, rows):
+def test_query_against_brute_force(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.op8_jaccard_join(spark, cases.write(spark, tmp_path, rows)).collect()}
     want = expected(rows)
     assert got == want
