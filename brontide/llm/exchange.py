@@ -27,9 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Bytes of text that a shard holds on average, and entries that a range holds.
-SHARD_BYTES = 12 << 20
-RANGE_ENTRIES = 1 << 20
+#: Bytes of text that a shard holds on average.
+SHARD_BYTES = 8 << 20
 LEAST = 24
 
 

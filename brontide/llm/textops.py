@@ -22,7 +22,7 @@ LOWER[0x41:0x5B] += 32
 BYTE_MUL = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WORD_MUL = (0xBF58476D1CE4E5BD, 0x94D049BB133111E5)
 #: A batch is worked on in pieces of about so many bytes of text.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:
