@@ -1,8 +1,8 @@
 """Toxicity by subword-bag embeddings under a linear softmax.
 
 A word's vector is the sum of its character n-gram vectors (hashed, with word
-boundary marks) and a text's vector is the average over its words; a softmax
-over two classes reads it.  Embeddings and softmax are trained jointly in numpy
+boundary marks) and a text's vector is the average over its words, but for those in repeats of
+an earlier passage of the text; a softmax over two classes reads it.  Embeddings and softmax are trained jointly in numpy
 on the driver.  A misspelt or newly inflected word shares most n-grams with the
 words seen in training.
 
@@ -27,12 +27,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from brontide.llm import textops as T
 from brontide.llm.shared import table
 
-#: Most labelled rows that are learned from, and most bytes of text of each. Scoring reads whole texts.
-TRAIN_DOCS, TRAIN_BYTES = 6_000, 1 << 15
+#: Most labelled rows that are learned from, whole texts each.
+TRAIN_DOCS = 4_000
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMENSIONS = 8
 EPOCHS, BATCH, RATE, SEED = 10, 16, 0.02, 7
+#: Words of a passage that repeats.
+WINDOW = 5
 #: Training texts that an n-gram must occur in.
 MIN_DOCS = 10
 #: The average of a text is multiplied by so much before the softmax.
@@ -70,28 +72,42 @@ def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return first, which
 
 
+def fresh_words(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which words lie in no window of WINDOW words that equals an earlier one of their row."""
+    firsts, rows = T.window_starts(bounds, WINDOW)
+    windows = T.window_hashes(hashes, firsts, WINDOW)
+    order = np.lexsort((firsts, windows, rows))
+    again = order[1:][(windows[order][1:] == windows[order][:-1]) & (rows[order][1:] == rows[order][:-1])]
+    edge = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(edge, firsts[again], 1)
+    np.add.at(edge, firsts[again] + WINDOW, -1)
+    return np.cumsum(edge)[:-1] == 0
+
+
 def _training_batches(batches):
     """Sparse bags: for each row its buckets and their weights (average over words), with the label."""
     for batch in batches:
         raw, offsets = T.string_buffers(batch.column(1))
         for i in range(batch.num_rows):
-            a, b = int(offsets[i]), min(int(offsets[i + 1]), int(offsets[i]) + TRAIN_BYTES)
+            a, b = int(offsets[i]), int(offsets[i + 1])
             part = raw[a:b]
             starts, ends, _ = T.word_spans(part, np.array([0, b - a]))
+            fresh = fresh_words(T.word_hashes(part, starts, ends), np.array([0, len(starts)]))
+            starts, ends = starts[fresh], ends[fresh]
             first, which = distinct_words(part, starts, ends)
             words, buckets = word_grams(part, starts[first], ends[first])
             share = np.bincount(which, minlength=len(first)) / max(1, len(starts))
             keys, at = np.unique(buckets, return_inverse=True)
             weights = np.bincount(at, weights=share[words], minlength=len(keys)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([keys.astype("<i4").tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())], names=["toxic", "buckets", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, 1), batch.column(0).slice(i, 1), pa.array([keys.astype("<i4").tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())], names=["doc_id", "toxic", "buckets", "weights"])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS):
     """At most ``limit`` bags of labelled rows outside the held-out fold, by hash order of doc_id."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select("toxic", "text").mapInArrow(_training_batches, "toxic int, buckets binary, weights binary").collect()
+    return texts.join(F.broadcast(known), "doc_id").select("toxic", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_training_batches, "doc_id long, toxic int, buckets binary, weights binary").toLocalIterator()
 
 
 def held_out():
@@ -104,11 +120,15 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs:
     if len(set(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
     # An n-gram of few texts tells those texts, not their class: it stays at zero.
-    seen = np.bincount(np.concatenate([b for b, _ in bags]), minlength=BUCKETS) >= MIN_DOCS
+    seen = np.zeros(BUCKETS, np.int32)
+    for b, _ in bags:
+        seen[b] += 1  # a bag has each bucket once
+    seen = seen >= MIN_DOCS
     bags = [(b[seen[b]], w[seen[b]]) for b, w in bags]
     rng = np.random.default_rng(SEED)
     embed = rng.normal(0, INIT, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = rng.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32)
+    # The bias stays at the classes' shares, so a text of unseen words scores the share of toxic ones.
     bias = np.log(np.bincount(y_all, minlength=2) / len(y_all)).astype(np.float32)
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
@@ -124,11 +144,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs:
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(chunk)), y_all[chunk]] -= 1
             g_x = (p @ out.T).astype(np.float32)
-            g_o, g_b = x.T @ p, p.sum(axis=0)
+            g_o = x.T @ p
             g_e = np.stack([np.bincount(at, weights=weights * g_x[row, d], minlength=len(used)) for d in range(DIMENSIONS)], axis=1)
             embed[used] -= rate * g_e
             out -= rate * g_o / len(chunk)
-            bias -= rate * g_b / len(chunk)
     edge = (out[:, 1] - out[:, 0]) * np.float32(SCALE)
     return ((embed @ edge) * seen).astype(np.float32), float(bias[1] - bias[0])
 
@@ -136,6 +155,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs:
 def text_scores(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray, bias: float) -> np.ndarray:
     starts, ends, rows = T.word_spans(raw, offsets)
     n = len(offsets) - 1
+    fresh = fresh_words(T.word_hashes(raw, starts, ends), T.row_bounds(rows, n)) if len(starts) else np.zeros(0, bool)
+    starts, ends, rows = starts[fresh], ends[fresh], rows[fresh]
     z = np.zeros(n)
     if len(starts):
         first, which = distinct_words(raw, starts, ends)
@@ -146,9 +167,11 @@ def text_scores(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray, bias: f
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, bool]:
-    rows = training_rows(docs, labels)
-    bags = [(np.frombuffer(r["buckets"], "<i4").astype(np.int64), np.frombuffer(r["weights"], np.float32)) for r in rows]
-    y = [r["toxic"] for r in rows]
+    bags, y = [], []
+    # In order of doc_id: training doesn't depend on how rows are dealt out.
+    for r in sorted(training_rows(docs, labels), key=lambda r: (r["doc_id"], r["buckets"], r["weights"])):
+        bags.append((np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["weights"], np.float32)))
+        y.append(r["toxic"])
     return (*train(bags, y), len(set(y)) > 1)
 
 
