@@ -13,9 +13,14 @@ add, conditions = c.add, c.conditions
 
 
 def values(name: str, *columns: tuple[str, object, str], where: str = "i4 < 2000") -> None:
-    """Columns (alias, Spark expression or Column, DuckDB expression) beside the row's key."""
-    oracle = f"SELECT i8, {', '.join(f'{theirs} AS {alias}' for alias, _, theirs in columns)} FROM cov WHERE {where}"
-    add(name, oracle, lambda t: t.cov.where(where).select("i8", *((F.expr(mine) if isinstance(mine, str) else mine()).alias(alias) for alias, mine, _ in columns)))
+    """Columns (alias, Spark expression or Column, DuckDB expression) beside the row's key.
+
+    ``name`` reads the rows under ``where`` only, ``name``_all the whole table.
+    """
+    oracle = f"SELECT i8, {', '.join(f'{theirs} AS {alias}' for alias, _, theirs in columns)} FROM cov"
+    mine_of = lambda: (F.col("i8"), *((F.expr(mine) if isinstance(mine, str) else mine()).alias(alias) for alias, mine, _ in columns))
+    add(name, f"{oracle} WHERE {where}", lambda t: t.cov.where(where).select(*mine_of()))
+    add(f"{name}_all", oracle, lambda t: t.cov.select(*mine_of()))
 
 
 same = lambda alias, text: (alias, text, text)
