@@ -68,3 +68,21 @@ def groups_frame(df: DataFrame, partition: Sequence[str], order: str, value: str
     numbered = df.withColumn("_group", F.dense_rank().over(Window.partitionBy(*partition).orderBy(order)))
     w = Window.partitionBy(*partition).orderBy("_group").rangeBetween(-before, 0)
     return numbered.withColumn(name, F.sum(value).over(w)).drop("_group")
+
+
+def numbered(df: DataFrame, key: str, name: str, ranges: int = 64) -> DataFrame:
+    """row_number() over the whole table in the order of a numeric column without nulls, without a window of one partition.
+
+    Rows are cut into ranges by approximate percentiles, numbered in each, and each
+    range's numbers begin after the rows of those before it.
+    """
+    at = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10000)).first()[0] or []
+    place = F.lit(0)
+    for bound in sorted(set(at)):
+        place = place + F.when(F.col(key) > bound, 1).otherwise(0)
+    ranged = df.withColumn("_range", place)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.toDF("_low", "_m")
+    starts = sizes.join(F.broadcast(before), F.col("_low") < F.col("_range"), "left").groupBy("_range").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, within.cast("bigint") + F.col("_start")).drop("_range", "_start")

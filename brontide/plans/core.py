@@ -81,12 +81,17 @@ add("J08_not_in_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN
 add("J09_right_semi", "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)", lambda t: t.nation.join(t.customer, F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").select("n_name"))
 for key in ("t", "bc", "n", "f8", "d"):
     add(f"J10_key_{key}", f"SELECT count(*) AS c FROM (SELECT * FROM cov WHERE i4 < 400) a JOIN (SELECT * FROM cov WHERE i4 < 300) b ON a.{key} = b.{key}", lambda t, key=key: t.cov.where("i4 < 400").select(key).join(t.cov.where("i4 < 300").select(key), key).agg(F.count("*").alias("c")))
+# Whole tables: keys are counted on each side before the join, so a hot key is one row of each.
+pairs = lambda t, key: t.cov.groupBy(key).agg(F.count("*").alias("x")).join(t.cov.groupBy(key).agg(F.count("*").alias("y")), key)
+for key in ("t", "bc", "n", "f8", "d"):
+    add(f"J10_key_{key}_all", f"SELECT count(*) AS c FROM cov a JOIN cov b ON a.{key} = b.{key}", lambda t, key=key: pairs(t, key).agg(F.sum(F.expr("x * y")).alias("c")))
 add("J11_expression_keys", "SELECT count(*) AS c FROM cov a JOIN cov b ON a.i4 = b.i4 + 1 AND lower(a.bc) = lower(b.bc)", lambda t: t.cov.alias("a").join(t.cov.alias("b"), F.expr("a.i4 = b.i4 + 1 AND lower(a.bc) = lower(b.bc)")).agg(F.count("*").alias("c")))
 add("J12_residual", "SELECT count(*) AS c FROM cov a JOIN cov b ON a.i4 = b.i4 AND a.i2 < b.i2 AND a.f8 + b.f8 > 1000", lambda t: t.cov.alias("a").join(t.cov.alias("b"), F.expr("a.i4 = b.i4 AND a.i2 < b.i2 AND a.f8 + b.f8 > 1000")).agg(F.count("*").alias("c")))
 add("J12_left_residual", "SELECT count(*) AS c, count(b.i4) AS m FROM cov a LEFT JOIN cov b ON a.i4 = b.i4 AND b.b AND a.i2 < b.i2", lambda t: t.cov.alias("a").join(t.cov.alias("b"), F.expr("a.i4 = b.i4 AND b.b AND a.i2 < b.i2"), "left").agg(F.count("*").alias("c"), F.count("b.i4").alias("m")))
 add("J13_outer_filter", f"SELECT c_custkey FROM {CO} WHERE o_orderkey IS NULL OR o_totalprice > 300000", lambda t: t.customer.join(t.orders, on(), "left").where("o_orderkey IS NULL OR o_totalprice > 300000").select("c_custkey"))
 add("J14_chain", "SELECT r_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1", lambda t: t.lineitem.select("l_orderkey").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, on()).join(ops.small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(ops.small(t.region), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n")))
 add("J15_duplicate_keys", "SELECT a.i2, count(*) AS c FROM (SELECT i2 FROM cov WHERE i4 < 500) a JOIN (SELECT i2 FROM cov WHERE i4 < 500) b ON a.i2 = b.i2 GROUP BY 1", lambda t: t.cov.where("i4 < 500").select("i2").join(t.cov.where("i4 < 500").select("i2"), "i2").groupBy("i2").agg(F.count("*").alias("c")))
+add("J15_duplicate_keys_all", "SELECT a.i2, count(*) AS c FROM cov a JOIN cov b ON a.i2 = b.i2 GROUP BY 1", lambda t: pairs(t, "i2").selectExpr("i2", "x * y AS c"))
 add("J16_skewed_key", "SELECT count(*) AS c FROM (SELECT CASE WHEN i4 % 3 = 0 THEN 1 ELSE i4 END AS k FROM cov) a JOIN (SELECT DISTINCT i4 AS k FROM cov) b USING (k)", lambda t: ops.salted_join(t.cov.selectExpr("CASE WHEN i4 % 3 = 0 THEN 1 ELSE i4 END AS k"), t.cov.selectExpr("i4 AS k").distinct(), "k", 4).agg(F.count("*").alias("c")))
 add("J17_lookup_join", "SELECT p_name, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 40", lambda t: t.lineitem.where("l_orderkey < 40").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("p_name", "l_orderkey"))
 add("J18_key_filter", "SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND o_custkey < 20", lambda t: t.lineitem.join(t.orders.where("o_orderstatus = 'P' AND o_custkey < 20"), F.col("l_orderkey") == F.col("o_orderkey")).agg(F.count("*").alias("n")))
@@ -118,6 +123,7 @@ add("A12_min_max_numeric", "SELECT vc, min(n)::DOUBLE AS a, max(n)::DOUBLE AS b
 add("A13_min_max_ordered", "SELECT min(t) AS a, max(t) AS b, min(d) AS c, max(ts) AS e FROM cov", lambda t: t.cov.agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min("d").alias("c"), F.max("ts").alias("e")))
 add("A14_generic", "SELECT i2, bool_and(b) AS a, bool_or(b) AS o, bit_or(i4) AS bits, round(stddev(i4), 6) AS sd, round(variance(i4), 3) AS v, round(var_pop(i4), 3) AS vp, round(corr(i4, i2 + i4 % 7), 6) AS c FROM cov GROUP BY 1 HAVING count(*) > 2", lambda t: t.cov.groupBy("i2").agg(F.bool_and("b").alias("a"), F.bool_or("b").alias("o"), F.bit_or("i4").alias("bits"), F.round(F.stddev("i4"), 6).alias("sd"), F.round(F.variance("i4"), 3).alias("v"), F.round(F.var_pop("i4"), 3).alias("vp"), F.round(F.corr("i4", F.expr("i2 + i4 % 7")), 6).alias("c"), F.count("*").alias("_n")).where("_n > 2").drop("_n"))
 add("A14_string_agg", "SELECT i2, string_agg(vc, ',' ORDER BY i8, vc) AS s FROM cov WHERE i4 < 300 GROUP BY 1", lambda t: t.cov.where("i4 < 300").groupBy("i2").agg(pg.string_agg("vc", ",", "i8").alias("s")))
+add("A14_string_agg_all", "SELECT i2, string_agg(vc, ',' ORDER BY i8, vc) AS s FROM cov GROUP BY 1", lambda t: t.cov.groupBy("i2").agg(pg.string_agg("vc", ",", "i8").alias("s")))
 add("A15_filter", "SELECT i2, count(*) FILTER (WHERE i4 > 500) AS n, sum(i4) FILTER (WHERE b)::BIGINT AS s, sum(CASE WHEN i2 <> 0 THEN 100 // i2 END)::BIGINT AS q FROM cov GROUP BY 1", lambda t: t.sql("SELECT i2, count(*) FILTER (WHERE i4 > 500) AS n, sum(i4) FILTER (WHERE b) AS s, sum(CASE WHEN i2 <> 0 THEN 100 div i2 END) AS q FROM {cov} GROUP BY 1"))
 add("A16_count_distinct", "SELECT b, count(DISTINCT i4) AS a, count(DISTINCT t) AS c, count(DISTINCT nul) AS e FROM cov GROUP BY 1", lambda t: t.cov.groupBy("b").agg(F.countDistinct("i4").alias("a"), F.countDistinct("t").alias("c"), F.countDistinct("nul").alias("e")))
 add("A17_distinct_sums", "SELECT sum(DISTINCT i2)::BIGINT AS s, avg(DISTINCT i2) AS a, min(DISTINCT i4) AS lo FROM cov", lambda t: t.sql("SELECT sum(DISTINCT i2) AS s, avg(DISTINCT i2) AS a, min(DISTINCT i4) AS lo FROM {cov}"))
@@ -158,6 +164,7 @@ add("O08_incremental", "SELECT i4, i2, i8 FROM cov ORDER BY i4, i2, i8 LIMIT 10"
 add("O09_collation", "SELECT count(*) AS n, min(lower(vc)) AS m FROM cov WHERE lower(vc) = lower('V5')", lambda t: t.cov.where(F.expr("vc COLLATE UTF8_LCASE = 'V5'")).agg(F.count("*").alias("n"), F.min(F.lower("vc")).alias("m")))
 add("O10_parallel_sort", "SELECT i8 FROM cov ORDER BY i8 DESC", lambda t: t.cov.select("i8").repartitionByRange(F.desc("i8")).sortWithinPartitions(F.desc("i8")))
 add("O11_sort_below_window", "SELECT i8, row_number() OVER (ORDER BY i8) AS r FROM cov WHERE i4 < 50", lambda t: t.cov.where("i4 < 50").select("i8", F.row_number().over(W.orderBy("i8")).cast("bigint").alias("r")))
+add("O11_sort_below_window_all", "SELECT i8, row_number() OVER (ORDER BY i8) AS r FROM cov", lambda t: ops.numbered(t.cov.select("i8"), "i8", "r"))
 
 # Set operations
 L, R = "SELECT i2, bc FROM cov WHERE i4 < 900", "SELECT i2, bc FROM cov WHERE i4 > 600"
@@ -171,6 +178,17 @@ add("U04_intersect_all", f"{L} INTERSECT ALL {R}", lambda t: left(t).intersectAl
 add("U05_except", f"{L} EXCEPT SELECT i2, bc FROM cov WHERE i4 > 900", lambda t: left(t).subtract(t.cov.where("i4 > 900").select("i2", "bc")))
 add("U06_except_all", f"{L} EXCEPT ALL {R}", lambda t: left(t).exceptAll(right(t)))
 add("U07_nested", f"({L} UNION {R}) EXCEPT ALL (SELECT i2, bc FROM cov WHERE b INTERSECT {R})", lambda t: left(t).union(right(t)).distinct().exceptAll(t.cov.where("b").select("i2", "bc").intersect(right(t))))
+# Over whole tables: the sides are overlapping halves by quantity, not by id.
+LA, RA, EA = ("SELECT t, bc FROM cov WHERE " + w for w in ("f4 < 30", "f4 > 20", "f4 > 40"))
+side = lambda t, where: t.cov.where(where).select("t", "bc")
+left_all, right_all = (lambda t: side(t, "f4 < 30")), (lambda t: side(t, "f4 > 20"))
+add("U01_union_all_all", f"{LA} UNION ALL {RA}", lambda t: left_all(t).unionAll(right_all(t)))
+add("U02_union_all", f"{LA} UNION {RA}", lambda t: left_all(t).union(right_all(t)).distinct())
+add("U03_intersect_all", f"{LA} INTERSECT {RA}", lambda t: left_all(t).intersect(right_all(t)))
+add("U04_intersect_all_all", f"{LA} INTERSECT ALL {RA}", lambda t: left_all(t).intersectAll(right_all(t)))
+add("U05_except_all", f"{LA} EXCEPT {EA}", lambda t: left_all(t).subtract(side(t, "f4 > 40")))
+add("U06_except_all_all", f"{LA} EXCEPT ALL {RA}", lambda t: left_all(t).exceptAll(right_all(t)))
+add("U07_nested_all", f"({LA} UNION {RA}) EXCEPT ALL (SELECT t, bc FROM cov WHERE b INTERSECT {RA})", lambda t: left_all(t).union(right_all(t)).distinct().exceptAll(side(t, "b").intersect(right_all(t))))
 add("U08_nulls_equal", "SELECT nul FROM cov INTERSECT SELECT nullif(nul, 5) FROM cov", lambda t: t.cov.select("nul").intersect(t.cov.selectExpr("nullif(nul, 5) AS nul")))
 add("U09_recursive", "WITH RECURSIVE r(k, f) AS (SELECT 1, 1::BIGINT UNION ALL SELECT k + 1, f * (k + 1) FROM r WHERE k < 15) SELECT k, f FROM r", lambda t: t.spark.sql("WITH RECURSIVE r(k, f) AS (SELECT 1, 1L UNION ALL SELECT k + 1, f * (k + 1) FROM r WHERE k < 15) SELECT k, f FROM r"))
 

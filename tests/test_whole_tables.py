@@ -24,3 +24,31 @@ def test_every_scalar_function_reads_the_whole_table(spark, sf_dir, duck):
     for name in VALUES:
         assert "WHERE" not in functions.c.oracles[f"{name}_all"].rpartition("FROM cov")[2]
         assert functions.c.queries[f"{name}_all"](spark, sf_dir).count() == n, name
+
+
+WHOLE = ("J10_key_t_all", "J10_key_bc_all", "J10_key_n_all", "J10_key_f8_all", "J10_key_d_all", "J15_duplicate_keys_all", "A14_string_agg_all", "O11_sort_below_window_all", "U01_union_all_all", "U02_union_all", "U03_intersect_all", "U04_intersect_all_all", "U05_except_all", "U06_except_all_all", "U07_nested_all")
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_table_query_has_no_id_predicate_and_equals_its_oracle(spark, sf_dir, duck, name):
+    sql = core.c.oracles[name].split(") SELECT", 1)[-1].split("FROM lineitem)", 1)[-1]
+    assert "i4" not in sql and "orderkey" not in sql
+    assert compare(core.c.queries[name](spark, sf_dir), duck, core.c.oracles[name]) == ""
+
+
+def test_whole_table_counts(spark, sf_dir, duck):
+    (n,) = duck.execute("SELECT count(*) FROM lineitem").fetchone()
+    q = core.c.queries
+    assert [r.r for r in q["O11_sort_below_window_all"](spark, sf_dir).orderBy("r").select("r").collect()] == list(range(1, n + 1))
+    assert sum(r.s.count(",") + 1 for r in q["A14_string_agg_all"](spark, sf_dir).collect()) == n
+    assert "SinglePartition" not in q["O11_sort_below_window_all"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert q["U05_except_all"](spark, sf_dir).count() > 0
+
+
+def test_numbering_of_ties_and_of_no_rows(spark):
+    from brontide import operators as ops
+
+    rows = spark.createDataFrame([(i % 5,) for i in range(40)], "k long")
+    got = sorted((r.k, r.r) for r in ops.numbered(rows, "k", "r").collect())
+    assert got == [(i // 8, i + 1) for i in range(40)]
+    assert ops.numbered(rows.where("false"), "k", "r").collect() == []
