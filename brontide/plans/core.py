@@ -102,6 +102,15 @@ add("J22_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JO
 add("J22_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation", lambda t: t.region.select("r_name").crossJoin(ops.small(t.nation.select("n_name"))))
 add("J23_lateral", "SELECT c_custkey, o.n, o.m FROM customer, LATERAL (SELECT count(*) AS n, max(o_orderkey) AS m FROM orders WHERE o_custkey = c_custkey) o", lambda t: t.sql("SELECT c_custkey, o.n, o.m FROM {customer} c, LATERAL (SELECT count(*) AS n, max(o_orderkey) AS m FROM {orders} WHERE o_custkey = c.c_custkey) o"))
 add("J24_exists_or", "SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)", lambda t: t.sql("SELECT c_custkey FROM {customer} WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)"))
+# Whole tables: rows without a partner come of the order's status and the customer's balance, not of ids.
+part = lambda t: t.orders.where("o_orderstatus = 'P'")
+P = "(SELECT * FROM orders WHERE o_orderstatus = 'P')"
+add("J02_left_all", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'", lambda t: t.customer.join(t.orders, on() & F.expr("o_orderstatus = 'P'"), "left").select("c_custkey", "o_orderkey"))
+add("J03_right_all", "SELECT c_custkey, o_orderkey FROM customer RIGHT JOIN orders ON c_custkey = o_custkey AND c_acctbal > 0", lambda t: t.customer.join(t.orders, on() & F.expr("c_acctbal > 0"), "right").select("c_custkey", "o_orderkey"))
+add("J04_full_all", "SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON c_custkey = o_custkey AND c_acctbal > 0 AND o_orderstatus = 'P'", lambda t: t.customer.join(t.orders, on() & F.expr("c_acctbal > 0 AND o_orderstatus = 'P'"), "full").select("c_custkey", "o_orderkey"))
+add("J05_semi_all", f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM {P} WHERE o_custkey = c_custkey)", lambda t: t.customer.join(part(t), on(), "left_semi").select("c_custkey"))
+add("J07_right_anti_all", f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM {P} WHERE o_custkey = c_custkey)", lambda t: ops.right_anti(t.customer, part(t), on()).select("c_custkey"))
+add("J24_exists_or_all", "SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')", lambda t: t.sql("SELECT c_custkey FROM {customer} WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"))
 add("J26_self_using", "SELECT n_regionkey, count(*) AS c FROM nation a JOIN nation b USING (n_regionkey) GROUP BY 1", lambda t: t.nation.select("n_regionkey").join(t.nation.select("n_regionkey"), "n_regionkey").groupBy("n_regionkey").agg(F.count("*").alias("c")))
 
 # Aggregates

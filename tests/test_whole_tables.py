@@ -52,3 +52,17 @@ def test_numbering_of_ties_and_of_no_rows(spark):
     got = sorted((r.k, r.r) for r in ops.numbered(rows, "k", "r").collect())
     assert got == [(i // 8, i + 1) for i in range(40)]
     assert ops.numbered(rows.where("false"), "k", "r").collect() == []
+
+
+def test_outer_semi_and_anti_joins_keep_every_row(spark, sf_dir, duck):
+    q, o = core.c.queries, core.c.oracles
+    for name in ("J02_left_all", "J03_right_all", "J04_full_all", "J05_semi_all", "J07_right_anti_all", "J24_exists_or_all"):
+        assert "%" not in o[name] and "o_orderkey <" not in o[name] and "c_custkey <" not in o[name]
+        assert compare(q[name](spark, sf_dir), duck, o[name]) == "", name
+    (orders, customers) = duck.execute("SELECT (SELECT count(*) FROM orders), (SELECT count(*) FROM customer)").fetchone()
+    full = q["J04_full_all"](spark, sf_dir)
+    assert full.select("o_orderkey").distinct().where("o_orderkey IS NOT NULL").count() == orders
+    assert full.select("c_custkey").distinct().where("c_custkey IS NOT NULL").count() == customers
+    assert q["J02_left_all"](spark, sf_dir).where("o_orderkey IS NULL").count() > 0
+    assert q["J03_right_all"](spark, sf_dir).count() == orders
+    assert q["J05_semi_all"](spark, sf_dir).count() + q["J07_right_anti_all"](spark, sf_dir).count() == customers
