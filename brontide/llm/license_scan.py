@@ -12,6 +12,11 @@ confirmed paragraph has at least CONFIRM_AT of a template's words, so it has a w
 is not among COMMON (each template has fewer than CONFIRM_AT common words); paragraphs without one are
 passed over before their n-grams are made.
 
+``notices`` (op5_license_notices) looks inside paragraphs: these are parted by blank lines and wrapped lines
+are joined; of each family the window of the paragraph with most of one template's words (of TEMPLATES or
+CANONICAL, at least CONFIRM_AT of them) is classified, and counts if the classifier names that family.
+A paragraph has at most one row a family; it is as long as it is, a text without line breaks included.
+
 Defined cases: null or empty texts have no paragraphs; repeated rows are reported each; a text
 of one very long line is one paragraph.
 """
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import re
 
 import numpy as np
@@ -48,6 +54,20 @@ OTHERS = (
     "Copyright law is the subject of the book.", "The terms of the agreement are subject to change.", "It is under the table in the public room.", "Notice of the meeting is hereby given to any person.",
     "The apache tribes lived in the south.", "The university and its students published the results.", "The bill was released by the commons.", "He had two of them and three of those.",
 )
+#: Whole standard paragraphs, for ``notices``.
+CANONICAL = {
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ),
+    "gpl-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "bsd-3-clause": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
+    "public-domain": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+}
 UNKNOWN = "unknown"
 COMMON = frozenset("a an and any are as at be by can for from in into is it may no not of on or other that the then this to use used was with work you your under".split())
 WORD = r"[a-z0-9]+"
@@ -76,15 +96,20 @@ def variants(rng: np.random.Generator, text: str, n: int) -> list[list[str]]:
     return out
 
 
+def texts_of(canonical: bool) -> dict[str, tuple[str, ...]]:
+    return {c: (*ts, *(CANONICAL.get(c, ()) if canonical else ())) for c, ts in TEMPLATES.items()}
+
+
 @functools.cache
-def train() -> tuple[list[str], list[str], np.ndarray, np.ndarray, float]:
-    """(classes, grams, weights [gram, class], bias, temperature)."""
+def train(canonical: bool = False) -> tuple[list[str], list[str], np.ndarray, np.ndarray, float]:
+    """(classes, grams, weights [gram, class], bias, temperature), from the whole standard paragraphs too if asked."""
+    texts = texts_of(canonical)
     rng = np.random.default_rng(SEED)
     classes = [*TEMPLATES, UNKNOWN]
-    data = [(k, w) for k, c in enumerate(classes[:-1]) for t in TEMPLATES[c] for w in [words_of(t), *variants(rng, t, 8)]]
+    data = [(k, w) for k, c in enumerate(classes[:-1]) for t in texts[c] for w in [words_of(t), *variants(rng, t, 8)]]
     data += [(len(classes) - 1, w) for t in OTHERS for w in [words_of(t), *variants(rng, t, 8)]]
     held = rng.random(len(data)) < 0.25
-    grams = sorted({g for c in TEMPLATES.values() for t in c for g in grams_of(words_of(t))} | {g for t in OTHERS for g in grams_of(words_of(t))})
+    grams = sorted({g for c in texts.values() for t in c for g in grams_of(words_of(t))} | {g for t in OTHERS for g in grams_of(words_of(t))})
     at = {g: i for i, g in enumerate(grams)}
     x = np.zeros((len(data), len(grams)))
     for i, (_, w) in enumerate(data):
@@ -113,23 +138,29 @@ def _literal(value, kind: str) -> str:
     return f"from_json('{text}', '{kind}')"
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line number), family, probability and similarity of every confirmed paragraph."""
-    classes, grams, weights, bias, temperature = train()
+def classified(out: DataFrame, canonical: bool = False) -> DataFrame:
+    """Rows whose column ``words`` the classifier gives a licence family, with ``family`` and ``probability``."""
+    classes, grams, weights, bias, temperature = train(canonical)
     k = len(classes)
     used = [i for i in range(len(grams)) if weights[i].any()]
     model = _literal({grams[i]: weights[i].tolist() for i in used}, "map<string,array<double>>")
-    keys = sorted({w for c in TEMPLATES.values() for t in c for w in words_of(t)} - COMMON)
-    key_words = "array(" + ",".join(f"'{w}'" for w in keys) + ")"
-    out = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    out = out.withColumn("words", F.expr(f"regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}', 0)"))
-    out = out.where(F.expr(f"arrays_overlap(words, {key_words})"))
     out = out.withColumn("grams", F.expr("array_distinct(concat(words, zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, size(words)), (a, b) -> concat(a, ' ', b))))"))
     out = out.withColumn("z", F.expr(f"aggregate(filter(transform(grams, g -> try_element_at({model}, g)), v -> v IS NOT NULL), {_literal(bias.tolist(), 'array<double>')}, (s, v) -> zip_with(s, v, (a, b) -> a + b), s -> transform(s, a -> a / {temperature}D))"))
     out = out.withColumn("e", F.expr("transform(z, a -> exp(a - array_max(z)))"))
     out = out.withColumn("best", F.expr("array_position(z, array_max(z))")).withColumn("probability", F.expr("element_at(e, cast(best AS int)) / aggregate(e, 0D, (s, a) -> s + a)"))
     names = "array(" + ",".join(f"'{c}'" for c in classes) + ")"
     out = out.withColumn("family", F.expr(f"element_at({names}, cast(best AS int))")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= KEEP_AT))
+    return out
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph (line number), family, probability and similarity of every confirmed paragraph."""
+    keys = sorted({w for c in TEMPLATES.values() for t in c for w in words_of(t)} - COMMON)
+    key_words = "array(" + ",".join(f"'{w}'" for w in keys) + ")"
+    out = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    out = out.withColumn("words", F.expr(f"regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}', 0)"))
+    out = out.where(F.expr(f"arrays_overlap(words, {key_words})"))
+    out = classified(out)
     templates = _literal({c: [sorted(set(words_of(t))) for t in ts] for c, ts in TEMPLATES.items()}, "map<string,array<array<string>>>")
     own = "array_distinct(words)"
     shared = f"size(array_intersect(t, {own}))"
@@ -137,5 +168,34 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return out.where(F.col("similarity") >= CONFIRM_AT).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "similarity")
 
 
+def compared() -> dict[str, list[dict]]:
+    """Templates by family: n distinct words t, and the longest window w that may hold them."""
+    return {c: [{"n": len(set(words_of(t))), "w": math.ceil(len(words_of(t)) / CONFIRM_AT), "t": sorted(set(words_of(t)))} for t in ts] for c, ts in texts_of(True).items()}
+
+
+def notices(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph (by blank lines), family, probability and similarity (containment) of every notice within a paragraph."""
+    families = compared()
+    every = sorted({w for ts in families.values() for t in ts for w in t["t"]})
+    model = _literal([{"label": c, "ts": ts} for c, ts in families.items()], "array<struct<label:string,ts:array<struct<n:int,w:int,t:array<string>>>>>")
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # Generators compute the words and the candidates once; a filter on a plain column would have them made again.
+    out = docs.select("doc_id", F.posexplode(F.expr(f"transform(split({lowered}, '\\n[ \\t\\r\\f]*\\n'), p -> regexp_extract_all(p, '{WORD}', 0))")).alias("paragraph", "all_words"))
+    hits = f"array_intersect(all_words, {_literal(every, 'array<string>')})"
+    near = f"filter(transform({model}, g -> named_struct('label', g.label, 'ts', filter(g.ts, x -> size(array_intersect(x.t, h)) >= {CONFIRM_AT}D * x.n))), g -> size(g.ts) > 0)"
+    out = out.select("doc_id", "paragraph", "all_words", F.explode(F.expr(f"flatten(transform(array({hits}), h -> {near}))")).alias("g"))
+    # The best window begins with a word of the template.
+    starts = "filter(sequence(1, size(all_words)), i -> array_contains(x.t, element_at(all_words, i)))"
+    window = f"transform({starts}, i -> named_struct('s', size(array_intersect(x.t, slice(all_words, i, x.w))) / x.n, 'i', i, 'w', x.w))"
+    best = f"array_max(flatten(transform(g.ts, x -> {window})))"
+    out = out.select("doc_id", "paragraph", "all_words", F.col("g.label").alias("label"), F.explode(F.expr(f"filter(array({best}), m -> m.s >= {CONFIRM_AT}D)")).alias("m"))
+    out = classified(out.withColumn("words", F.expr("slice(all_words, m.i, m.w)")), True).where("family = label")
+    return out.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", F.col("m.s").alias("similarity"))
+
+
+def op5_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs(table(spark, sf_dir, "documents"))
