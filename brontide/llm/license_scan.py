@@ -180,7 +180,7 @@ def notices(docs: DataFrame) -> DataFrame:
     model = _literal([{"label": c, "ts": ts} for c, ts in families.items()], "array<struct<label:string,ts:array<struct<n:int,w:int,t:array<string>>>>>")
     lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     # Generators compute the words and the candidates once; a filter on a plain column would have them made again.
-    out = docs.select("doc_id", F.posexplode(F.expr(f"transform(split({lowered}, '\\n[ \\t\\r\\f]*\\n'), p -> regexp_extract_all(p, '{WORD}', 0))")).alias("paragraph", "all_words"))
+    out = docs.select("doc_id", F.posexplode(F.expr(f"transform(split({lowered}, '\\n[ \\t\\r]*\\n'), p -> regexp_extract_all(p, '{WORD}', 0))")).alias("paragraph", "all_words"))
     hits = f"array_intersect(all_words, {_literal(every, 'array<string>')})"
     near = f"filter(transform({model}, g -> named_struct('label', g.label, 'ts', filter(g.ts, x -> size(array_intersect(x.t, h)) >= {CONFIRM_AT}D * x.n))), g -> size(g.ts) > 0)"
     out = out.select("doc_id", "paragraph", "all_words", F.explode(F.expr(f"flatten(transform(array({hits}), h -> {near}))")).alias("g"))
