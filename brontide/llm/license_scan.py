@@ -1,24 +1,21 @@
 """Licence scan: a trained paragraph classifier with a calibrated unknown class, confirmed by template comparison.
 
-Paragraphs are the lines of a text.  A sparse logistic regression (softmax over the licence
-families and ``unknown``) on word unigrams and bigrams is trained on the driver, in
-numpy, from the templates below and from paragraphs of no licence.  Probabilities are calibrated by a
-temperature fitted on held-out variants of the templates; below KEEP_AT the answer is ``unknown``.
-A prediction counts only if the paragraph shares at least CONFIRM_AT of the words of one of the family's
-templates and of its own.
-
-Scanning is DataFrame functions only, one row at a time without shuffle.  A
-confirmed paragraph has at least CONFIRM_AT of a template's words, so it has a word of the templates that
-is not among COMMON (each template has fewer than CONFIRM_AT common words); paragraphs without one are
-passed over before their n-grams are made.
-
-``notices`` (op5_license_notices) looks inside paragraphs: these are parted by blank lines and wrapped lines
-are joined; of each family the window of the paragraph with most of one template's words (of TEMPLATES or
-CANONICAL, at least CONFIRM_AT of them) is classified, and counts if the classifier names that family.
-A paragraph has at most one row a family; it is as long as it is, a text without line breaks included.
-
-Defined cases: null or empty texts have no paragraphs; repeated rows are reported each; a text
-of one very long line is one paragraph.
+Paragraphs are parted by blank lines; wrapped lines are joined, so a notice may stand inside a longer line, over
+several lines, or in a text without line breaks.  Of each family the window of the paragraph with most of one
+template's words (at least CONFIRM_AT of them) is classified, and counts if the classifier names that family.  A
+paragraph has at most one row a family.
+
+The classifier is a sparse logistic regression (softmax over the licence families and ``unknown``) on word unigrams
+and bigrams, trained on the driver, in numpy, from the templates below and from paragraphs of no licence.  Probabilities
+are calibrated by a temperature fitted on whole templates and whole paragraphs of no licence that the fitted model has not seen;
+below KEEP_AT the answer is ``unknown``.
+
+Scanning is DataFrame functions only, one row at a time without shuffle.  Paragraphs that hold less than
+CONFIRM_AT of each template's words are passed over before windows are made: no window of theirs could be confirmed.
+
+Defined cases: null or empty texts and a null doc_id's texts are scanned as any other (null: no paragraphs); repeated rows are
+reported each; a very long text or line is one paragraph, scanned whole; of equally good windows the last one counts, with the longest
+template, of equally likely families the first of TEMPLATES; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,15 +43,17 @@ TEMPLATES = {
     "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "public-domain": ("This work is released into the public domain.", "This is free and unencumbered software released into the public domain."),
+    "all-rights-reserved": ("All rights reserved.", "Copyright, all rights reserved by the authors."),
 }
 #: Paragraphs of no licence, some with its words.
 OTHERS = (
     "The driver must show a valid license to the officer.", "A new version of the software was released under the old name.", "The general public was free to use the library.",
     "They licensed the song to a studio for a film.", "You may not use this door except in an emergency.", "The foundation published a source for the work.", "This is the version of the story that people know.",
     "Copyright law is the subject of the book.", "The terms of the agreement are subject to change.", "It is under the table in the public room.", "Notice of the meeting is hereby given to any person.",
+    "All seats are reserved for the members.", "The rights of the people are held by all.", "He reserved the right to say so.",
     "The apache tribes lived in the south.", "The university and its students published the results.", "The bill was released by the commons.", "He had two of them and three of those.",
 )
-#: Whole standard paragraphs, for ``notices``.
+#: Whole standard paragraphs.
 CANONICAL = {
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -69,10 +68,9 @@ CANONICAL = {
     "public-domain": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
 }
 UNKNOWN = "unknown"
-COMMON = frozenset("a an and any are as at be by can for from in into is it may no not of on or other that the then this to use used was with work you your under".split())
 WORD = r"[a-z0-9]+"
 KEEP_AT, CONFIRM_AT = 0.6, 0.7
-EPOCHS, RATE, L2, SEED = 400, 0.5, 1e-3, 11
+EPOCHS, RATE, L2, SEED, FOLDS = 400, 0.5, 1e-3, 11, 3
 
 
 def words_of(text: str) -> list[str]:
@@ -96,33 +94,52 @@ def variants(rng: np.random.Generator, text: str, n: int) -> list[list[str]]:
     return out
 
 
-def texts_of(canonical: bool) -> dict[str, tuple[str, ...]]:
-    return {c: (*ts, *(CANONICAL.get(c, ()) if canonical else ())) for c, ts in TEMPLATES.items()}
+def texts_of() -> dict[str, tuple[str, ...]]:
+    return {c: (*ts, *CANONICAL.get(c, ())) for c, ts in TEMPLATES.items()}
+
+
+def fit(data: list[tuple[int, list[str]]], at: dict[str, int], k: int, bias: np.ndarray) -> np.ndarray:
+    """Weights [gram, class] by gradient descent on the rows (class, words)."""
+    x, y = rows_of([w for _, w in data], at), np.eye(k)[[c for c, _ in data]]
+    weights = np.zeros((len(at), k))
+    for _ in range(EPOCHS):
+        gap = softmax(x @ weights + bias) - y
+        weights -= RATE * (x.T @ gap / len(x) * 10 + L2 * weights)
+    return weights
+
+
+def rows_of(words: list[list[str]], at: dict[str, int]) -> np.ndarray:
+    x = np.zeros((len(words), len(at)))
+    for i, w in enumerate(words):
+        x[i, [at[g] for g in grams_of(w) if g in at]] = 1
+    return x
 
 
 @functools.cache
-def train(canonical: bool = False) -> tuple[list[str], list[str], np.ndarray, np.ndarray, float]:
-    """(classes, grams, weights [gram, class], bias, temperature), from the whole standard paragraphs too if asked."""
-    texts = texts_of(canonical)
+def train() -> tuple[list[str], list[str], np.ndarray, np.ndarray, float]:
+    """(classes, grams, weights [gram, class], bias, temperature).
+
+    The temperature comes of FOLDS models that have each not seen some whole texts, neither them nor
+    variants of them: texts of families with more than one, and texts of no licence.
+    """
     rng = np.random.default_rng(SEED)
     classes = [*TEMPLATES, UNKNOWN]
-    data = [(k, w) for k, c in enumerate(classes[:-1]) for t in texts[c] for w in [words_of(t), *variants(rng, t, 8)]]
-    data += [(len(classes) - 1, w) for t in OTHERS for w in [words_of(t), *variants(rng, t, 8)]]
-    held = rng.random(len(data)) < 0.25
-    grams = sorted({g for c in texts.values() for t in c for g in grams_of(words_of(t))} | {g for t in OTHERS for g in grams_of(words_of(t))})
+    k = len(classes)
+    texts = [(c, t, n if len(ts) > 1 else None) for c, ts in enumerate(texts_of().values()) for n, t in enumerate(ts)] + [(k - 1, t, n) for n, t in enumerate(OTHERS)]
+    data = [(c, w, None if n is None else n % FOLDS) for c, t, n in texts for w in [words_of(t), *variants(rng, t, 8)]]
+    grams = sorted({g for _, t, _ in texts for g in grams_of(words_of(t))})
     at = {g: i for i, g in enumerate(grams)}
-    x = np.zeros((len(data), len(grams)))
-    for i, (_, w) in enumerate(data):
-        x[i, [at[g] for g in grams_of(w) if g in at]] = 1
-    y = np.eye(len(classes))[[k for k, _ in data]]
-    weights, bias = np.zeros((len(grams), len(classes))), np.zeros(len(classes))
+    bias = np.zeros(k)
     bias[-1] = 1.0  # without evidence: unknown
-    fit = ~held
-    for _ in range(EPOCHS):
-        gap = softmax(x[fit] @ weights + bias) - y[fit]
-        weights -= RATE * (x[fit].T @ gap / fit.sum() * 10 + L2 * weights)
-    z = x[held] @ weights + bias
-    losses = {t: -np.log(np.maximum((softmax(z / t) * y[held]).sum(axis=1), 1e-12)).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8)}
+    logits, truth = [], []
+    for fold in range(FOLDS):
+        held = [(c, w) for c, w, f in data if f == fold]
+        weights = fit([(c, w) for c, w, f in data if f != fold], at, k, bias)
+        logits.append(rows_of([w for _, w in held], at) @ weights + bias)
+        truth += [c for c, _ in held]
+    z, y = np.concatenate(logits), np.eye(k)[truth]
+    losses = {t: -np.log(np.maximum((softmax(z / t) * y).sum(axis=1), 1e-12)).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8)}
+    weights = fit([(c, w) for c, w, _ in data], at, k, bias)
     weights[np.abs(weights) < 0.02] = 0
     # Multiples of 2**-16 add up exactly in any order.
     return classes, grams, np.round(weights * 65536) / 65536, bias, min(losses, key=losses.get)
@@ -138,9 +155,9 @@ def _literal(value, kind: str) -> str:
     return f"from_json('{text}', '{kind}')"
 
 
-def classified(out: DataFrame, canonical: bool = False) -> DataFrame:
+def classified(out: DataFrame) -> DataFrame:
     """Rows whose column ``words`` the classifier gives a licence family, with ``family`` and ``probability``."""
-    classes, grams, weights, bias, temperature = train(canonical)
+    classes, grams, weights, bias, temperature = train()
     k = len(classes)
     used = [i for i in range(len(grams)) if weights[i].any()]
     model = _literal({grams[i]: weights[i].tolist() for i in used}, "map<string,array<double>>")
@@ -153,24 +170,9 @@ def classified(out: DataFrame, canonical: bool = False) -> DataFrame:
     return out
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line number), family, probability and similarity of every confirmed paragraph."""
-    keys = sorted({w for c in TEMPLATES.values() for t in c for w in words_of(t)} - COMMON)
-    key_words = "array(" + ",".join(f"'{w}'" for w in keys) + ")"
-    out = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    out = out.withColumn("words", F.expr(f"regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}', 0)"))
-    out = out.where(F.expr(f"arrays_overlap(words, {key_words})"))
-    out = classified(out)
-    templates = _literal({c: [sorted(set(words_of(t))) for t in ts] for c, ts in TEMPLATES.items()}, "map<string,array<array<string>>>")
-    own = "array_distinct(words)"
-    shared = f"size(array_intersect(t, {own}))"
-    out = out.withColumn("similarity", F.expr(f"array_max(transform(element_at({templates}, family), t -> {shared} / greatest(size(t), size({own}))))"))
-    return out.where(F.col("similarity") >= CONFIRM_AT).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "similarity")
-
-
 def compared() -> dict[str, list[dict]]:
     """Templates by family: n distinct words t, and the longest window w that may hold them."""
-    return {c: [{"n": len(set(words_of(t))), "w": math.ceil(len(words_of(t)) / CONFIRM_AT), "t": sorted(set(words_of(t)))} for t in ts] for c, ts in texts_of(True).items()}
+    return {c: [{"n": len(set(words_of(t))), "w": math.ceil(len(words_of(t)) / CONFIRM_AT), "t": sorted(set(words_of(t)))} for t in ts] for c, ts in texts_of().items()}
 
 
 def notices(docs: DataFrame) -> DataFrame:
@@ -189,13 +191,9 @@ def notices(docs: DataFrame) -> DataFrame:
     window = f"transform({starts}, i -> named_struct('s', size(array_intersect(x.t, slice(all_words, i, x.w))) / x.n, 'i', i, 'w', x.w))"
     best = f"array_max(flatten(transform(g.ts, x -> {window})))"
     out = out.select("doc_id", "paragraph", "all_words", F.col("g.label").alias("label"), F.explode(F.expr(f"filter(array({best}), m -> m.s >= {CONFIRM_AT}D)")).alias("m"))
-    out = classified(out.withColumn("words", F.expr("slice(all_words, m.i, m.w)")), True).where("family = label")
+    out = classified(out.withColumn("words", F.expr("slice(all_words, m.i, m.w)"))).where("family = label")
     return out.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", F.col("m.s").alias("similarity"))
 
 
-def op5_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notices(table(spark, sf_dir, "documents"))
-
-
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(table(spark, sf_dir, "documents"))
+    return notices(table(spark, sf_dir, "documents"))

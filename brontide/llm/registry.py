@@ -12,7 +12,6 @@ def queries() -> dict:
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_license_scan": license_scan.op5_license_scan,
-        "op5_license_notices": license_scan.op5_license_notices,
         "op6_wavelet_files": wavelet.op6_wavelet_files,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
