@@ -3,12 +3,15 @@
 Several operators need, for each of a text's many 64-bit keys (n-grams, windows,
 signatures), something that only the whole corpus knows: a count, or the least
 doc_id.  A join would shuffle a row per occurrence.  Here documents are dealt
-into shards of bounded size by hash of doc_id; a shard sends each *distinct* key
+into shards of bounded size by hash of doc_id and text; a shard sends each *distinct* key
 once, packed with its neighbours in key order into one binary per key range; a
-range's reducer merges what all shards sent and answers each shard in the order
-it asked.  So
+range's reducer merges what it was sent and answers each shard in the order
+it asked.  Beyond FAN shards, keys go through relays, each of which merges the keys that FAN shards
+have in one range and asks for all of them, so no sender cuts its keys into more than FAN rows, no
+reducer hears more than FAN senders, and rows grow with the shards (at most FAN a shard and hop), not with their square.  So
 
 * a hot key costs one entry a shard, whatever its number of occurrences;
+* a hot (or null) doc_id is dealt out by its texts;
 * key ranges are ranges of a hash, so reducers are even;
 * nothing goes to the driver and nothing is broadcast;
 * every step is an ordinary shuffle, which Spark recomputes if an executor is lost.
@@ -30,6 +33,8 @@ U64 = np.uint64
 #: Bytes of text that a shard holds on average.
 SHARD_BYTES = 8 << 20
 LEAST = 24
+#: Most rows that a sender cuts its keys into, and most senders that a reducer hears.
+FAN = 4096
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
@@ -41,8 +46,8 @@ def shard_count(n_bytes: int, shard_bytes: int = SHARD_BYTES) -> int:
     return max(LEAST, math.ceil(n_bytes / shard_bytes))
 
 
-def shard_of(n: int, column: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+def shard_of(n: int, *columns: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -101,6 +106,11 @@ REQUEST = "kind int, rng int, shard int, n long, keys binary, more binary, extra
 ANSWER = "kind int, rng int, shard int, n long, data binary"
 
 
+def ranges(n: int) -> int:
+    """The ranges into which each of ``n`` shards cuts its keys."""
+    return min(n, FAN)
+
+
 def requests(kind: int, shard: int, keys: np.ndarray, n_ranges: int, more: np.ndarray | None = None, extra: np.ndarray | None = None, bits: int = 64):
     """Rows of REQUEST for sorted distinct keys of so many bits; ``more`` and ``extra`` are unsigned columns beside them."""
     for r, a, b in slices(keys, n_ranges, bits):
@@ -122,53 +132,103 @@ def answers_of(table: pa.Table, kind: int) -> np.ndarray:
     return np.concatenate([unpack(r["data"], r["n"]) for r in rows]) if rows else np.zeros(0, U64)
 
 
-def ask(requests_df: DataFrame, merge, facts=None) -> DataFrame:
-    """Answers of all ranges: ``merge(kind, list of (keys, more, extra))`` returns an array for each part.
+#: What a range tells about a key: the sum of what was sent, whether that sum is 2 or more, or the least sent.
+SUM, TWICE, LEAST_SENT = "sum", "twice", "least"
+
 
-    ``facts(kind, parts)`` may return numbers about the range's keys; they come as rows of shard -1.
+def ask(requests_df: DataFrame, rules: dict[int, str], n: int, facts=None, bits: dict[int, int] | None = None) -> DataFrame:
+    """Answers for the ``n`` shards that made REQUEST rows; ``rules`` has SUM, TWICE or LEAST_SENT for each kind.
+
+    ``facts(kind, parts)`` may return numbers about a range's distinct keys; they come as rows of shard -1.
     """
+    return _ask(requests_df, rules, n, 1, facts, bits or {}, FAN)
+
 
+def _ask(df: DataFrame, rules: dict[int, str], senders: int, cells: int, facts, bits: dict[int, int], fan: int) -> DataFrame:
+    """The key space has so many cells; each hears so many senders, whose number in the cell is ``shard`` modulo that."""
+    if senders <= fan:
+        return df.groupBy("rng").applyInArrow(_answerer(rules, facts), ANSWER)
+    groups = math.ceil(senders / fan)
+    by_node = df.withColumn("node", F.expr(f"cast(rng * {groups} + (shard % {senders}) div {fan} AS int)")).groupBy("node")
+    cells *= fan
+    relayed = by_node.applyInArrow(_relay(rules, cells * min(groups, fan), bits), REQUEST)
+    answers = _ask(relayed, rules, groups, cells, facts, bits, fan)
+    out = by_node.cogroup(answers.where("shard >= 0").groupBy("shard")).applyInArrow(_expander(rules), ANSWER)
+    return out.unionAll(answers.where("shard < 0")) if facts else out
+
+
+def _parts(table: pa.Table):
+    """(kind, its rows, their (keys, more, extra)) of each kind in REQUEST rows."""
+    by_kind: dict[int, list[dict]] = {}
+    for r in table.to_pylist():
+        by_kind.setdefault(r["kind"], []).append(r)
+    for kind, rs in sorted(by_kind.items()):
+        yield kind, rs, [(unpack_sorted(r["keys"], r["n"]), unpack(r["more"], r["n"]) if r["more"] is not None else None, unpack(r["extra"], r["n"]) if r["extra"] is not None else None) for r in rs]
+
+
+def _answerer(rules: dict[int, str], facts):
     def run(table: pa.Table) -> pa.Table:
-        by_kind: dict[int, list[dict]] = {}
-        for r in table.to_pylist():
-            by_kind.setdefault(r["kind"], []).append(r)
         rows = []
-        for kind, rs in by_kind.items():
-            given = [(unpack_sorted(r["keys"], r["n"]), unpack(r["more"], r["n"]) if r["more"] is not None else None, unpack(r["extra"], r["n"]) if r["extra"] is not None else None) for r in rs]
+        for kind, rs, given in _parts(table):
             if facts:
                 rows.append((kind, rs[0]["rng"], -1, 0, np.array(facts(kind, given), "<i8").tobytes()))
-            for r, found in zip(rs, merge(kind, given), strict=True):
+            _, _, value, at = merged(given, rules[kind])
+            if rules[kind] == TWICE:
+                value = (value >= U64(2)).astype(U64)
+            for r, found in zip(rs, parted(value[at], given), strict=True):
                 rows.append((kind, r["rng"], r["shard"], r["n"], pack(found)))
         return to_table(rows, ANSWER_ARROW)
 
-    return requests_df.groupBy("rng").applyInArrow(run, ANSWER)
+    return run
 
 
-def merged_counts(given: list[tuple]) -> list[np.ndarray]:
-    """Total of ``more`` over all parts, for each key of each part."""
-    keys = np.concatenate([k for k, _, _ in given])
-    _, at = np.unique(keys, return_inverse=True)
-    total = np.zeros(int(at.max()) + 1 if len(at) else 0, U64)
-    np.add.at(total, at, np.concatenate([m for _, m, _ in given]))
-    return np.split(total[at], np.cumsum([len(k) for k, _, _ in given])[:-1])
+def _relay(rules: dict[int, str], n_ranges: int, bits: dict[int, int]):
+    def run(table: pa.Table) -> pa.Table:
+        node, rows = table["node"][0].as_py(), []
+        for kind, _, given in _parts(table):
+            keys, extra, value, _ = merged(given, rules[kind])
+            rows += requests(kind, node, keys, n_ranges, value, extra, bits.get(kind, 64))
+        return to_table(rows, REQUEST_ARROW)
+
+    return run
+
+
+def _expander(rules: dict[int, str]):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        for kind, rs, given in _parts(table):
+            *_, at = merged(given, rules[kind])
+            for r, found in zip(rs, parted(answers_of(answers, kind)[at], given), strict=True):
+                rows.append((kind, r["rng"], r["shard"], r["n"], pack(found)))
+        return to_table(rows, ANSWER_ARROW)
+
+    return run
+
+
+def parted(values: np.ndarray, given: list[tuple]) -> list[np.ndarray]:
+    return np.split(values, np.cumsum([len(k) for k, _, _ in given])[:-1])
 
 
-def merged_least(given: list[tuple]) -> list[np.ndarray]:
-    """Least ``more`` among all parts' equal (key, extra), for each key of each part."""
+def merged(given: list[tuple], rule: str) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """(distinct keys, their extras, sum or least of ``more``, the distinct key of each given one), in order of (key, extra)."""
     keys = np.concatenate([k for k, _, _ in given])
     more = np.concatenate([m for _, m, _ in given])
-    extra = np.concatenate([e if e is not None else np.zeros(len(k), U64) for k, _, e in given])
-    order = np.lexsort((more, extra, keys))
-    k, e = keys[order], extra[order]
+    extra = np.concatenate([e for _, _, e in given]) if given[0][2] is not None else None
+    order = np.argsort(keys, kind="stable") if extra is None else np.lexsort((extra, keys))
+    k = keys[order]
     new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
-    least = more[order][new][np.cumsum(new) - 1] if len(k) else more
-    out = np.empty(len(keys), U64)
-    out[order] = least
-    return np.split(out, np.cumsum([len(x) for x, _, _ in given])[:-1])
+    new[1:] = k[1:] != k[:-1]
+    if extra is not None:
+        e = extra[order]
+        new[1:] |= e[1:] != e[:-1]
+    first = np.flatnonzero(new)
+    value = (np.minimum if rule == LEAST_SENT else np.add).reduceat(more[order], first) if len(first) else more
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return k[first], None if extra is None else e[first], value, at
 
 
 def sharded(docs: DataFrame, n: int, *columns: Column) -> DataFrame:
     """(shard, doc_id, text, columns): what the operators group and cogroup by shard."""
     ids, text = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select(shard_of(n).alias("shard"), ids, text, *columns)
+    return docs.select(shard_of(n, ids, text).alias("shard"), ids, text, *columns)

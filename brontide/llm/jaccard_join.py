@@ -19,18 +19,23 @@ Before that, a set that links with another has at least 75 % of its shingles in
 with fewer shingles that a merged count-min row estimates to occur twice are out; the
 estimate is never too low.
 
-Links are verified exactly, never by all pairs of a group: the least document of each
-signature's bucket is its pivot and is compared with the others, and connected
-components are formed.  What is then outside of its pivot's component is compared
-with all of the pivot's documents in blocks of BLOCK by BLOCK sets, which give at most one link to each
-component.
+Links are verified exactly, never by all pairs of a group.  The least document of each
+signature's bucket is its pivot.  A pair of pivot and document is first held against two exact bounds:
+their sizes, and the parities of their elements' places (a set's ``parity`` has a bit for each place, and
+each differing bit is an element that only one set has).  What passes is measured with the whole sets: first each
+document with its least pivot, whose links form components, then the pairs that these leave apart.
+Documents that are still outside of their pivot's component meet all of the pivot's documents in blocks
+of BLOCK by BLOCK parities, and those with a partner by the bounds meet as whole sets, block by block; a block
+gives at most one link to each component.
 
 All exchanges are those of ``exchange`` (a hot set or signature is one entry a shard) or joins
-of representatives that Spark can split; components stay distributed.
+of representatives, dealt by salted pivot; components stay distributed.
 
 Defined cases: texts without words are empty and linked with nothing, each its own component; texts of under
-SHINGLE words are the one shingle of all their words; equal doc_ids are one document of the
-component; a null doc_id never is a component's least id unless alone; an empty table gives an empty result.
+SHINGLE words are the one shingle of all their words; a very long text is one row of its shard, whole; equal doc_ids are one document of the
+component, with the links of all their texts; a null doc_id never is a component's least id, which is null where there
+is no other (ids from NULL_IDS on stand for null ones and should not occur beside them); ids may be of any size; other columns are not
+read; an empty table gives an empty result.  Links inside a component are not all verified, so their number is not an output.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ from pyspark.sql import functions as F
 
 from brontide.llm import exchange as X
 from brontide.llm import textops as T
-from brontide.llm.shared import materialize, table
+from brontide.llm.shared import forget, materialize, table
 
 SHINGLE = 5
 #: Jaccard threshold as a fraction: NUM / DEN.
@@ -53,9 +58,12 @@ NUM, DEN = 75, 100
 N2, K_KEPT = 3, 2
 SPREAD, WORD_BYTES = 16, 6
 CLASS, SKETCH = 0, 1
-NO_ID = (1 << 63) - 1
+#: From here on ids stand for classes of null doc_ids.
+NULL_IDS = (1 << 63) - (1 << 48)
 #: Documents of a pivot, and outsiders, that meet in one block.
 BLOCK = 512
+#: A pivot's documents are dealt over so many tasks.
+SALT = 32
 
 
 def shingle_sets(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,20 +94,27 @@ def sketch_bits(n_bytes: int) -> int:
     return max(16, math.ceil(math.log2(SPREAD * max(1, n_bytes) / WORD_BYTES)))
 
 
-def _ids(t: pa.Table) -> np.ndarray:
+def _ids(t: pa.Table, hashes: np.ndarray) -> np.ndarray:
+    """doc_ids; for null ones a stand-in of their sets' hashes."""
     ids = t["doc_id"].combine_chunks()
-    return np.where(ids.is_null(), NO_ID, ids.fill_null(0)).astype(np.int64)
+    return np.where(ids.is_null(), NULL_IDS + (hashes >> T.U64(16)).astype(np.int64), ids.fill_null(0)).astype(np.int64)
+
+
+def classes(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(non-empty rows by class and then id, whether each begins a class)."""
+    full = np.flatnonzero(sizes)
+    order = full[np.lexsort((ids[full], b[full], a[full]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    return order, new
 
 
 def _send(n_ranges: int, bits: int):
     def run(t: pa.Table) -> pa.Table:
         found, bounds, _ = shingle_sets(t)
         a, b = set_hashes(found, bounds)
-        ids = X.signed_order(_ids(t))
-        full = np.flatnonzero(np.diff(bounds))
-        order = full[np.lexsort((ids[full], b[full], a[full]))]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        ids = X.signed_order(_ids(t, a))
+        order, new = classes(a, b, np.diff(bounds), ids)
         at, shard = order[new], t["shard"][0].as_py()
         rows = list(X.requests(CLASS, shard, a[at], n_ranges, ids[at], b[at]))
         cells, counts = np.unique(found >> T.U64(64 - bits), return_counts=True)
@@ -109,25 +124,39 @@ def _send(n_ranges: int, bits: int):
     return run
 
 
-def _merge(kind: int, given: list[tuple]) -> list[np.ndarray]:
-    return X.merged_least(given) if kind == CLASS else [(c >= 2).astype(T.U64) for c in X.merged_counts(given)]
+def parity(found: np.ndarray) -> bytes:
+    """One bit for each of 64 * 2**k places, at least one a place for each element: whether oddly many elements fall there."""
+    places = max(64, 1 << (len(found) - 1).bit_length())
+    at = T.mix(found ^ T.U64(0x9FB21C651E98DF25)) & T.U64(places - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=places).astype(np.uint8) & 1).tobytes()
+
+
+def folded(parities: np.ndarray, places: int) -> np.ndarray:
+    """Rows of parity bytes for fewer places."""
+    while parities.shape[1] * 8 > places:
+        half = parities.shape[1] // 2
+        parities = parities[:, :half] ^ parities[:, half:]
+    return parities
 
 
-#: A document with its class; ``shingles`` (packed) only of representatives that may link.
-SETS = "shard int, doc_id long, n_shingles long, rep long, shingles binary"
+def may_link(na, nb, differing):
+    """Whether sets of these sizes, with so many differing parities, can link: by size and symmetric difference."""
+    return (NUM * np.maximum(na, nb) <= DEN * np.minimum(na, nb)) & ((DEN + NUM) * differing <= (DEN - NUM) * (na + nb))
+
+
+#: A document with its class; ``shingles`` (packed) and ``parity`` only of representatives that may link.
+SETS = "shard int, doc_id long, n_shingles long, rep long, shingles binary, parity binary"
+SETS_ARROW = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("rep", pa.int64()), ("shingles", pa.binary()), ("parity", pa.binary())])
 
 
 def _receive(bits: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return pa.table({"shard": pa.array([], pa.int32()), "doc_id": pa.array([], pa.int64()), "n_shingles": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "shingles": pa.array([], pa.binary())})
+            return SETS_ARROW.empty_table()
         found, bounds, _ = shingle_sets(t)
         a, b = set_hashes(found, bounds)
-        sizes, ids = np.diff(bounds), _ids(t)
-        full = np.flatnonzero(sizes)
-        order = full[np.lexsort((b[full], a[full]))]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        sizes, ids = np.diff(bounds), _ids(t, a)
+        order, new = classes(a, b, sizes, X.signed_order(ids))
         rep = ids.copy()
         if len(order):
             least = X.answers_of(answers, CLASS)[np.cumsum(new) - 1]
@@ -135,10 +164,12 @@ def _receive(bits: int):
         _, at = np.unique(found >> T.U64(64 - bits), return_inverse=True)
         twice = np.concatenate([[0], np.cumsum(X.answers_of(answers, SKETCH)[at] > 0)])
         shared = twice[bounds[1:]] - twice[bounds[:-1]]
-        # Equal doc_ids may hold a class's least id twice; the class is then in it twice, which distinct() below mends.
-        able = (sizes > 0) & (rep == ids) & (DEN * shared >= NUM * sizes)
-        sets = [X.pack_sorted(found[bounds[i] : bounds[i + 1]]) if able[i] else None for i in range(t.num_rows)]
-        return pa.table({"shard": t["shard"], "doc_id": t["doc_id"], "n_shingles": pa.array(sizes), "rep": pa.array(rep), "shingles": pa.array(sets, pa.binary())})
+        able = np.zeros(len(ids), bool)
+        able[order[new]] = True  # a class once a shard
+        able &= (rep == ids) & (DEN * shared >= NUM * sizes)
+        sets = [found[bounds[i] : bounds[i + 1]] if able[i] else None for i in range(t.num_rows)]
+        packed, parities = ([None if x is None else f(x) for x in sets] for f in (X.pack_sorted, parity))
+        return pa.table([t["shard"], t["doc_id"], pa.array(sizes), pa.array(rep), pa.array(packed, pa.binary()), pa.array(parities, pa.binary())], schema=SETS_ARROW)
 
     return run
 
@@ -220,6 +251,19 @@ def _pivots(t: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
 
+def _near_batches(batches):
+    """``near``: whether the pair can link, by sizes and parities."""
+    for batch in batches:
+        na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+        differing = np.zeros(len(na), np.int64)
+        for i, (p, q) in enumerate(zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)):
+            if NUM * max(na[i], nb[i]) <= DEN * min(na[i], nb[i]):
+                p, q = (np.frombuffer(x, np.uint8)[None] for x in (p, q))
+                places = 8 * min(p.shape[1], q.shape[1])
+                differing[i] = np.bitwise_count(folded(p, places) ^ folded(q, places)).sum()
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(may_link(na, nb, differing))], names=["a", "b", "near"])
+
+
 VERIFIED = "a long, na long, b long, nb long, apart long"
 
 
@@ -235,6 +279,29 @@ def _verify_batches(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "na", "b", "nb")), pa.array(apart, pa.int64())], names=["a", "na", "b", "nb", "apart"])
 
 
+def _block_near(t: pa.Table) -> pa.Table:
+    """The block's outsiders and documents that have a partner of another component, by sizes and parities."""
+    comps, outside, sizes = (t[c].to_numpy() for c in ("cb", "outside", "n_shingles"))
+    parities = [np.frombuffer(x.as_py(), np.uint8) for x in t["parity"]]
+    widths = np.array([len(p) for p in parities])
+    keep = np.zeros(t.num_rows, bool)
+    outer = np.flatnonzero(outside)
+    for width in np.unique(widths):
+        inner = np.flatnonzero(~outside & (widths == width))
+        if not len(inner):
+            continue
+        own = np.stack([parities[i] for i in inner])
+        narrow = folded(own, 4 * width)
+        for x in outer[(widths[outer] <= 2 * width) & (2 * widths[outer] >= width)]:
+            there = own if widths[x] >= width else narrow
+            differing = np.bitwise_count(there ^ folded(parities[x][None], 8 * there.shape[1])).sum(axis=1, dtype=np.int64)
+            near = may_link(sizes[inner], sizes[x], differing) & (comps[inner] != comps[x])
+            if near.any():
+                keep[x] = True
+                keep[inner[near]] = True
+    return t.select(["a", "oc", "mc", "b", "cb", "outside"]).filter(pa.array(keep))
+
+
 def _block_links(t: pa.Table) -> pa.Table:
     """Links (a, b) between a block's outsiders and its documents of other components: one to each component."""
     ids, comps, outside, sizes = (t[c].to_numpy() for c in ("b", "cb", "outside", "n_shingles"))
@@ -260,7 +327,7 @@ LINK = f"{DEN + NUM} * apart <= {DEN - NUM} * (na + nb)"
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) with their sets' sizes and exact symmetric difference."""
+    """The pairs (a, b) with their sets' sizes and exact symmetric difference."""
     left = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa")), "a")
     return both.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_verify_batches, VERIFIED)
@@ -283,8 +350,9 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        links = materialize(small, "links")
-        now = links.agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.xxhash64("u", "v") % 1000003).alias("h")).first()
+        old, links = links, materialize(small, "links")
+        forget(old)
+        now = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if now == before:
             break
         before = now
@@ -293,39 +361,59 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def linked(sets: DataFrame, n_shards: int) -> DataFrame:
-    """(doc, comp) of the representatives with shingles, by PartEnum and verification in two rounds."""
-    labels = sets.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp"))
+    """(doc, comp) of the representatives with shingles, by PartEnum and verification."""
+    labels = sets.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp")).distinct()
     by_shard = sets.select("shard", "doc_id", "n_shingles", "shingles").groupBy("shard")
-    least = X.ask(by_shard.applyInArrow(_send_signatures(n_shards), X.REQUEST), lambda kind, given: X.merged_least(given))
+    least = X.ask(by_shard.applyInArrow(_send_signatures(X.ranges(n_shards)), X.REQUEST), {CLASS: X.LEAST_SENT}, n_shards)
     pairs = by_shard.cogroup(least.groupBy("shard")).applyInArrow(_pivots, "a long, b long")
-    star = materialize(measured(pairs, sets), "pivot-pairs")
-    labels = materialize(components(star.where(LINK).select("a", "b"), labels), "components")
+    star = materialize(bounded(pairs, sets), "pivot-pairs")
+    near = star.where("near").select("a", "b")
+    first = measured(near.groupBy("b").agg(F.min("a").alias("a")), sets)
+    labels = materialize(components(first.where(LINK).select("a", "b"), labels), "components")
+    apart = placed(near, labels).where("ca <> cb").select("a", "b").distinct()
+    labels = materialize(components(measured(apart, sets).where(LINK).select("a", "b"), labels), "components")
     # Two documents of one bucket are with its pivot in ``star``. Those that its component doesn't hold
     # (outsiders) are compared with all documents of the same pivot, in blocks of bounded size.
-    known = star.select("a", "b").join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").withColumn("outside", F.col("ca") != F.col("cb"))
-    known = materialize(known, "pivot-groups")
+    known = placed(star, labels).select("a", "b", "cb", F.expr("ca <> cb").alias("outside"), F.expr(f"pmod(xxhash64(b, 2), {SALT})").alias("salt"))
+    known = materialize(known.distinct(), "pivot-groups")
     sizes = known.groupBy("a").agg(F.count("*").alias("m"), F.count_if("outside").alias("o")).where("o > 0")
-    sizes = sizes.select("a", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("m"), F.expr(f"(o + {BLOCK - 1}) div {BLOCK}").alias("o"))
-    dealt = known.join(sizes, "a").select("a", "b", "cb", "outside", "m", "o", F.expr("pmod(xxhash64(b), m)").alias("mc"), F.expr("pmod(xxhash64(b, 1), o)").alias("oc"))
+    sizes = sizes.select("a", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("m"), F.expr(f"(o + {BLOCK - 1}) div {BLOCK}").alias("o"), F.explode(F.expr(f"sequence(0L, {SALT - 1}L)")).alias("salt"))
+    dealt = known.join(sizes, ["a", "salt"]).select("a", "b", "cb", "outside", "m", "o", F.expr("pmod(xxhash64(b), m)").alias("mc"), F.expr("pmod(xxhash64(b, 1), o)").alias("oc"))
     inside = dealt.select("a", "b", "cb", F.lit(False).alias("outside"), "mc", F.explode(F.expr("sequence(0L, o - 1)")).alias("oc"))
     outside = dealt.where("outside").select("a", "b", "cb", "outside", F.explode(F.expr("sequence(0L, m - 1)")).alias("mc"), "oc")
-    rows = inside.unionAll(outside).join(sets.select(F.col("doc_id").alias("b"), "n_shingles", "shingles"), "b")
-    edges = rows.groupBy("a", "oc", "mc").applyInArrow(_block_links, "a long, b long")
+    rows = inside.unionByName(outside).join(sets.select(F.col("doc_id").alias("b"), "n_shingles", "parity"), "b")
+    partners = rows.groupBy("a", "oc", "mc").applyInArrow(_block_near, "a long, oc long, mc long, b long, cb long, outside boolean")
+    whole = partners.distinct().join(sets.select(F.col("doc_id").alias("b"), "n_shingles", "shingles"), "b")
+    edges = whole.groupBy("a", "oc", "mc").applyInArrow(_block_links, "a long, b long")
     return components(edges, labels)
 
 
+def placed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs`` with the components ca and cb of a and b."""
+    return pairs.join(labels.toDF("b", "cb"), "b").join(labels.toDF("a", "ca"), "a")
+
+
+def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with ``near``: not shown unable to link by sizes and parities."""
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "na", "pa", "b", "nb", "pb").mapInArrow(_near_batches, "a long, b long, near boolean")
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, rep (least doc_id of the class) and component_id of each row."""
     n_bytes = X.text_bytes(docs)
     n, bits = X.shard_count(n_bytes), sketch_bits(n_bytes)
     by_shard = X.sharded(docs, n).groupBy("shard")
-    answers = X.ask(by_shard.applyInArrow(_send(n, bits), X.REQUEST), _merge)
+    answers = X.ask(by_shard.applyInArrow(_send(X.ranges(n), bits), X.REQUEST), {CLASS: X.LEAST_SENT, SKETCH: X.TWICE}, n, bits={SKETCH: bits})
     found = materialize(by_shard.cogroup(answers.groupBy("shard")).applyInArrow(_receive(bits), SETS), "shingle-sets")
-    sets = found.where("shingles IS NOT NULL").select("shard", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", "shingles").dropDuplicates(["doc_id"])
-    sets = materialize(sets, "linkable-sets")
+    sets = found.where("shingles IS NOT NULL").select("shard", F.col("rep").alias("doc_id"), "n_shingles", "shingles", "parity")
     labels = linked(sets, n)
     out = found.select("doc_id", "n_shingles", "rep").join(labels.toDF("rep", "component_id"), "rep", "left")
-    return out.select("doc_id", "n_shingles", "rep", F.nullif(F.coalesce("component_id", "rep"), F.lit(NO_ID)).alias("component_id"))
+    component = F.coalesce("component_id", "rep")
+    unknown = F.col("doc_id").isNull() & (component >= NULL_IDS)
+    null_if = lambda c: F.when(~unknown, c)
+    return out.select("doc_id", "n_shingles", null_if(F.col("rep")).alias("rep"), null_if(component).alias("component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

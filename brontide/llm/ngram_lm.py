@@ -14,13 +14,18 @@ statistics (a histogram over bucket and binned probabilities) and the scores are
 then plain passes over it.  Only that histogram, of at most BUCKETS * (BINS + 1)**2
 cells, and N and V reach the driver.
 
-Defined cases: a null or empty text is its end token alone; repeated rows count
-and score each; an empty table gives an empty result; without training text N
+Words are counted by 64 bits of hash, pairs by ``pair_bits``, which grow with the input.
+
+Defined cases: a null or empty text is its end token alone; a very long text is one row of its shard, whole;
+repeated rows count and score each, rows of one doc_id too; a null doc_id is not held out; equal counts need no
+order; other columns are not read; an empty table gives an empty result; without training text N
 and V are 0 and the model is the uniform 1 / (V + 1).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +43,7 @@ BUCKETS = 24
 #: Probabilities in EM's statistics are binned by this fraction of an octave.
 OCTAVE, BINS = 8, 320
 ITERATIONS = 60
+SPARE = 20
 
 
 def held_out_fold(folds: int = 10) -> Column:
@@ -61,15 +67,21 @@ def token_keys(table_: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, T.mix(before * T.U64(0x9E3779B97F4A7C15) + T.mix(words + T.U64(0x632BE59BD9B4E019))), starts
 
 
-def _send(n_ranges: int):
+def pair_bits(n_bytes: int) -> int:
+    """Bits of a pair's key: with SPARE more than its number needs, a pair shares its key with a chance of under 2**-SPARE."""
+    return min(64, math.ceil(math.log2(max(2, n_bytes))) + SPARE)
+
+
+def _send(n_ranges: int, bits: int):
     def run(t: pa.Table) -> pa.Table:
         words, pairs, starts = token_keys(t)
+        pairs >>= T.U64(64 - bits)
         train = np.repeat(~t["held_out"].to_numpy(), np.diff(starts))
         shard, rows = t["shard"][0].as_py(), []
-        for kind, keys in ((WORD, words), (PAIR, pairs)):
+        for kind, keys, size in ((WORD, words, 64), (PAIR, pairs, bits)):
             found, at = np.unique(keys, return_inverse=True)
             counts = np.bincount(at, weights=train, minlength=len(found)).astype(np.int64)
-            rows += X.requests(kind, shard, found, n_ranges, counts.astype(T.U64))
+            rows += X.requests(kind, shard, found, n_ranges, counts.astype(T.U64), bits=size)
         return X.to_table(rows, X.REQUEST_ARROW)
 
     return run
@@ -84,35 +96,39 @@ def _facts(kind: int, given: list[tuple]) -> tuple[int, int]:
     return int(counts.sum()), len(np.unique(keys))
 
 
-#: A row is a document with its tokens' corpus counts, or (``facts``) what _facts found about a key range, in c1.
-COUNTS = "doc_id long, held_out boolean, n_tokens long, c1 binary, c2 binary, facts boolean"
+#: A row is a document with its tokens' corpus counts, or (``facts``) a key range's tokens and distinct tokens.
+COUNTS = "doc_id long, held_out boolean, n_tokens long, c1 binary, c2 binary, facts boolean, distinct long"
 
 
-def _receive(t: pa.Table, answers: pa.Table) -> pa.Table:
-    if not t.num_rows:
-        data = answers["data"].combine_chunks()
-        n = len(data)
-        columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), data, pa.nulls(n, pa.binary()), pa.array(np.ones(n, bool))]
-    else:
-        words, pairs, starts = token_keys(t)
-        found, at = np.unique(words, return_inverse=True)
-        c1 = X.answers_of(answers, WORD)[at]
-        found, at = np.unique(pairs, return_inverse=True)
-        c2 = X.answers_of(answers, PAIR)[at]
-        packed = [pa.array([X.pack(c[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary()) for c in (c1, c2)]
-        columns = [t["doc_id"], t["held_out"], pa.array(np.diff(starts)), *packed, pa.array(np.zeros(t.num_rows, bool))]
-    return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "c1", "c2", "facts"])
+def _receive(bits: int):
+    def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            found = np.array([np.frombuffer(x.as_py(), "<i8") for x in answers["data"]], np.int64).reshape(-1, 2)
+            n = len(found)
+            columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(found[:, 0]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(np.ones(n, bool)), pa.array(found[:, 1])]
+        else:
+            words, pairs, starts = token_keys(t)
+            found, at = np.unique(words, return_inverse=True)
+            c1 = X.answers_of(answers, WORD)[at]
+            found, at = np.unique(pairs >> T.U64(64 - bits), return_inverse=True)
+            c2 = X.answers_of(answers, PAIR)[at]
+            packed = [pa.array([X.pack(c[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary()) for c in (c1, c2)]
+            columns = [t["doc_id"], t["held_out"], pa.array(np.diff(starts)), *packed, pa.array(np.zeros(t.num_rows, bool)), pa.nulls(t.num_rows, pa.int64())]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "c1", "c2", "facts", "distinct"])
+
+    return run
 
 
 def counted(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """(documents with the packed corpus counts of their tokens, N, V)."""
-    n = X.shard_count(X.text_bytes(docs))
+    n_bytes = X.text_bytes(docs)
+    n = X.shard_count(n_bytes)
     dealt = X.sharded(docs, n, held_out_fold().alias("held_out"))
-    answers = X.ask(dealt.groupBy("shard").applyInArrow(_send(n), X.REQUEST), lambda kind, given: X.merged_counts(given), _facts)
-    rows = materialize(dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_receive, COUNTS), "token-counts")
-    facts = [np.frombuffer(r["c1"], "<i8") for r in rows.where("facts").select("c1").toLocalIterator()]
-    tokens, distinct = (int(sum(f[i] for f in facts)) for i in (0, 1))
-    return rows.where("NOT facts").drop("facts"), tokens, distinct
+    bits = pair_bits(n_bytes)
+    answers = X.ask(dealt.groupBy("shard").applyInArrow(_send(X.ranges(n), bits), X.REQUEST), {WORD: X.SUM, PAIR: X.SUM}, n, _facts, {PAIR: bits})
+    rows = materialize(dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_receive(bits), COUNTS), "token-counts")
+    total = rows.where("facts").agg(F.sum("n_tokens").alias("n"), F.sum("distinct").alias("v")).first()
+    return rows.where("NOT facts").drop("facts", "distinct"), total["n"] or 0, total["v"] or 0
 
 
 def _counts(batch: pa.RecordBatch, at: int):

@@ -14,8 +14,9 @@ removed; windows are judged on the input.  Nothing is broadcast or collected; a
 window is one entry a shard.
 
 Defined cases: null, empty and short texts (under WINDOW words) have no windows and keep
-all words; texts of equal doc_id never remove each other's words; a null doc_id
-counts as the greatest; an empty table gives an empty result.
+all words; a very long text is one row of its shard, whole; texts of equal doc_id (repeated rows
+too) never remove each other's words; a null doc_id counts as the greatest; columns of any other name travel along in
+``without_repeats`` and are not read elsewhere; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,10 +91,7 @@ def _send_sketch(n_ranges: int, bits: int, size: int):
     return run
 
 
-def _merge(kind: int, given: list[tuple]) -> list[np.ndarray]:
-    if kind == EXACT:
-        return X.merged_least(given)
-    return [(counts >= 2).astype(T.U64) for counts in X.merged_counts(given)]
+RULES = {**dict.fromkeys(range(ROWS), X.TWICE), EXACT: X.LEAST_SENT}
 
 
 def _send_suspects(n_ranges: int, bits: int, size: int):
@@ -143,6 +141,12 @@ def _remove(bits: int, size: int, with_text: bool):
     return run
 
 
+def asked(by_shard, n: int, bits: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Answers of the merged sketch, and of the exact pass over its suspects."""
+    sketch = X.ask(by_shard.applyInArrow(_send_sketch(X.ranges(n), bits, size), X.REQUEST), RULES, n, bits=dict.fromkeys(range(ROWS), bits))
+    return sketch, X.ask(by_shard.cogroup(sketch.groupBy("shard")).applyInArrow(_send_suspects(X.ranges(n), bits, size), X.REQUEST), RULES, n)
+
+
 def deduplicate(docs: DataFrame, size: int = WINDOW, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of each row.
 
@@ -153,8 +157,7 @@ def deduplicate(docs: DataFrame, size: int = WINDOW, with_text: bool = False) ->
     n, bits = X.shard_count(n_bytes), sketch_bits(n_bytes)
     dealt = X.sharded(docs, n)
     by_shard = dealt.groupBy("shard")
-    sketch = X.ask(by_shard.applyInArrow(_send_sketch(n, bits, size), X.REQUEST), _merge)
-    exact = X.ask(by_shard.cogroup(sketch.groupBy("shard")).applyInArrow(_send_suspects(n, bits, size), X.REQUEST), _merge)
+    sketch, exact = asked(by_shard, n, bits, size)
     found = by_shard.cogroup(sketch.unionAll(exact).groupBy("shard"))
     return found.applyInArrow(_remove(bits, size, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
@@ -170,8 +173,7 @@ def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     n, bits = X.shard_count(n_bytes), sketch_bits(n_bytes)
     dealt = X.sharded(docs, n, F.struct(F.col("text").isNull().alias("_null_text"), *(F.col(f"`{c}`") for c in rest)).alias("rest"))
     by_shard = dealt.groupBy("shard")
-    sketch = X.ask(by_shard.applyInArrow(_send_sketch(n, bits, size), X.REQUEST), _merge)
-    exact = X.ask(by_shard.cogroup(sketch.groupBy("shard")).applyInArrow(_send_suspects(n, bits, size), X.REQUEST), _merge)
+    sketch, exact = asked(by_shard, n, bits, size)
     remove = _remove(bits, size, True)
     kind = dealt.schema["rest"].dataType
     schema = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("text", StringType()), StructField("rest", kind)])

@@ -82,3 +82,61 @@ def test_ties_nulls_and_empty(spark):
     frame = spark.createDataFrame([(i, t, "en", "s", 1, 1, True, 1) for i, t in rows], cases.SCHEMA)
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in J.joined(frame).collect()) == [("5", 2, 5), ("5", 2, 5), ("9", 0, 9), ("9", 0, 9), ("None", 2, 5)]
     assert J.joined(frame.limit(0)).collect() == []
+
+
+def by_id(spark, rows):
+    return {(r.doc_id, r.n_shingles): r.component_id for r in J.joined(spark.createDataFrame(rows, "doc_id long, text string, component_id string, shingles int")).collect()}
+
+
+def chain(n, first):
+    """Each text shares enough with the one before, few with the others."""
+    words = [f"w{k}" for k in range(400)]
+    return [(first + i, " ".join(words[8 * i : 8 * i + 120]), "x", 1) for i in range(n)]
+
+
+@pytest.mark.parametrize("first", [-(1 << 63), 1 << 62, (1 << 63) - 7])
+def test_ids_of_any_size(spark, first):
+    got = J.joined(spark.createDataFrame(chain(6, first), "doc_id long, text string, component_id string, shingles int")).collect()
+    assert {r.component_id for r in got} == {first} and len(got) == 6
+
+
+def test_repeated_ids_of_different_texts_and_null_ids(spark):
+    a, b, c = chain(1, 0)[0][1], " ".join(f"x{k}" for k in range(90)), " ".join(f"y{k}" for k in range(80))
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    rows = [(5, a, "x", 1), (5, b, "x", 1), (9, near(a), "x", 1), (3, near(b), "x", 1), (None, near(c), "x", 1), (7, c, "x", 1), (None, "no one has such a text", "x", 1), (None, None, "x", 1)]
+    got = by_id(spark, rows)
+    assert {k[0]: v for k, v in got.items() if k[0]} == {5: 3, 9: 3, 3: 3, 7: 7}
+    assert sorted((n, str(v)) for (i, n), v in got.items() if i is None) == [(0, "None"), (2, "None"), (76, "7")]
+
+
+def test_many_unlike_sets_of_one_shingle(spark):
+    """One shared shingle in small sets gives large buckets without links; two texts of them do link."""
+    rng = random.Random(8)
+    rows = [(i, "the one that all share " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 8))), "x", 1) for i in range(4000)]
+    rows += [(5000, rows[17][1] + " " + " ".join(f"q{k}" for k in range(40)), "x", 1), (5001, rows[17][1] + " " + " ".join(f"q{k}" for k in range(39)), "x", 1)]
+    got = by_id(spark, rows)
+    assert {i: c for (i, _), c in got.items() if i != c} == {5001: 5000}
+
+
+def test_parity_never_excludes_a_link():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) // 8)), dtype=np.uint64)]))
+        if len(b):
+            p, q = (np.frombuffer(J.parity(x), np.uint8)[None] for x in (a, b))
+            places = 8 * min(p.shape[1], q.shape[1])
+            differing = int(np.bitwise_count(J.folded(p, places) ^ J.folded(q, places)).sum())
+            assert differing <= len(np.setxor1d(a, b))
+
+
+def test_relays_give_the_same(spark, tmp_path, monkeypatch):
+    """With a fan of 3 the 24 shards need three hops."""
+    from brontide.llm import exchange, ngram_lm, substring_dedup
+
+    rows = near_copies(seed=5, n=60) + [(i + 5000, t, *r) for i, t, *r in cases.documents(seed=3, n=40)]
+    folder = cases.write(spark, tmp_path, rows)
+    queries = (J.op8_jaccard_join, ngram_lm.op1_deleted_interpolation, substring_dedup.op3_substring_dedup)
+    want = [sorted(map(str, q(spark, folder).collect())) for q in queries]
+    monkeypatch.setattr(exchange, "FAN", 3)
+    assert [sorted(map(str, q(spark, folder).collect())) for q in queries] == want
