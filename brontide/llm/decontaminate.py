@@ -9,27 +9,33 @@ lie in one band); bands with enough hits are verified by banded alignment, which
 gives the least number of edits of the whole item against any region there.
 
 Texts are compared after lower-casing A-Z and replacing each run of white space
-by one space.  The edit budget is RATE of an item's characters; an item's q is the largest
+by one space, byte by byte.  The edit budget is RATE of an item's bytes; an item's q is the largest
 allowed for which the lemma still asks for LEAST shared q-grams.
 
 The benchmark is the query set: it is collected only in blocks of BLOCK_CHARS
-characters, and each block is one pass over the documents, so nothing that grows is
-broadcast.  One pass needs no shuffle: a document with its hits stays in its row.
+characters, and each block is one pass over the documents; with more than one block, each pass is written before
+the next begins, so one block is held at a time.  One pass needs no shuffle: a document with its hits stays in its row.
+Hits are made in parts of about PART at most: where a text and a block have more (a phrase of many items, a text of
+one repeated phrase), item by item, and then in overlapping pieces of the text.
 
 Defined cases: null or empty documents and items, and items of under 4 bytes,
 match nothing; short items get fewer edits, so that the lemma still asks for one q-gram; equal items are all
-reported; repeated documents are each reported; an empty benchmark finds nothing.
+reported; of equally near regions of a document the one that ends first counts; repeated documents, and those of a null or repeated doc_id, are each reported; a very
+long text is searched whole; columns of other names are not read (``without_leaks`` keeps them); an empty benchmark finds nothing, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brontide.llm import textops as T
-from brontide.llm.shared import table
+from brontide.llm.shared import materialize, table
 
 RATE = 0.07
 Q_SIZES = (12, 8)
@@ -37,6 +43,10 @@ LEAST = 8
 BLOCK_CHARS = 4 << 20
 BITMAP_BITS = 22
 PIECE_BYTES = 2 << 20
+#: Most hits that are held at a time, but for a text piece of four times an item's length.
+PART = 1 << 20
+#: Stands beyond a text's ends; no UTF-8 text has it.
+BEYOND = 0xFF
 
 
 def normalise(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,75 +112,118 @@ class Items:
                 bitmap[keys & T.U64((1 << BITMAP_BITS) - 1)] = True
                 self.tables[q] = keys[order], items[order], places[order], bitmap
 
-    def hits(self, text: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, item, place in the item) of all shared q-grams."""
+    def hits(self, text: np.ndarray, q: int):
+        """(place in the text, item, place in the item) of shared q-grams, in parts that each have all hits of some items in some text."""
         keys, items, places, bitmap = self.tables[q]
         found = gram_keys(text, q)
         at = np.flatnonzero(bitmap[found & T.U64((1 << BITMAP_BITS) - 1)])
-        lo, hi = np.searchsorted(keys, found[at], "left"), np.searchsorted(keys, found[at], "right")
-        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), items[which], places[which]
-
-
-def align(item: bytes, region: bytes, k: int) -> tuple[int, int]:
-    """(least edits of the whole item against any substring of the region, its end there)."""
-    a, b = np.frombuffer(item, np.uint8), np.frombuffer(region, np.uint8)
-    row = np.zeros(len(b) + 1, np.int64)
-    steps = np.arange(len(b) + 1)
-    for i, c in enumerate(a):
-        new = np.empty_like(row)
-        new[0] = i + 1
-        new[1:] = np.minimum(row[:-1] + (b != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps  # insertions, left to right
-        if row.min() > k:
-            return k + 1, 0
-    end = int(np.argmin(row))
-    return int(row[end]), end
+        found = found[at]
+        lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
+        at, found, lo, n = at[hi > lo], found[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        if n.sum() <= PART:
+            yield expanded(at, lo, n, items, places)
+            return
+        for item in np.unique(items):
+            own = np.flatnonzero(items == item)
+            low, high = np.searchsorted(keys[own], found, "left"), np.searchsorted(keys[own], found, "right")
+            here = high > low
+            at_i, low, n = at[here], low[here], (high - low)[here]
+            # A region and its q-grams span less than ``overlap`` bytes, so they lie in one piece whole.
+            overlap = 2 * len(self.texts[item])
+            step = max(overlap, PART // max(1, int(n.max(initial=1))) - overlap)
+            first = 0
+            while first < len(at_i):
+                begin = at_i[first]
+                part = slice(first, int(np.searchsorted(at_i, begin + step + overlap)))
+                yield expanded(at_i[part], low[part], n[part], items[own], places[own])
+                first = int(np.searchsorted(at_i, begin + step)) if part.stop < len(at_i) else len(at_i)
+
+
+def expanded(at: np.ndarray, lo: np.ndarray, n: np.ndarray, items: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(at, n), items[which], places[which]
+
+
+def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least edits of the whole item, its diagonal at the end) within a band of diagonals, for each window.
+
+    Row i of the programme has the cells of item byte i on the band's W diagonals; on diagonal t it meets
+    byte i + t of the window, which is len(item) + W - 1 long.  Alignments begin and end on any diagonal.
+    """
+    width = windows.shape[1] - len(item) + 1
+    row = np.zeros((len(windows), width), np.int32)
+    steps = np.arange(width, dtype=np.int32)
+    for i, c in enumerate(item):
+        new = row + (windows[:, i : i + width] != c)
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])  # an item byte that the window lacks
+        new -= steps
+        np.minimum.accumulate(new, axis=1, out=new)  # window bytes that the item lacks
+        new += steps
+        row = new
+    end = row.argmin(axis=1)
+    return row[np.arange(len(row)), end], end
+
+
+def window(text: np.ndarray, base: int, size: int, first: int, last: int) -> np.ndarray:
+    """``text[base : base + size]``, with BEYOND where that leaves text[first:last]."""
+    out = np.full(size, BEYOND, np.uint8)
+    a, b = max(base, first), min(base + size, last)
+    if a < b:
+        out[a - base : b - base] = text[a:b]
+    return out
+
+
+def candidates(items: Items, q: int, at: np.ndarray, item: np.ndarray, inner: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(row, item, band) with as many shared q-grams as the lemma asks for."""
+    row = np.searchsorted(starts, at, side="right") - 1
+    inside = at + q <= starts[row + 1]
+    at, item, inner, row = at[inside], item[inside], inner[inside], row[inside]
+    k, need, size = (np.array(x, np.int64) for x in ([b[0] for b in items.budgets], [b[2] for b in items.budgets], [len(t) for t in items.texts]))
+    diagonal = at - starts[row] - inner + size[item]  # shifted, so never negative
+    band = diagonal // (k[item] + 1)
+    # A band covers 2(k+1) diagonals: each hit counts in its own band and the one before.
+    key = np.stack([np.concatenate([x, y]) for x, y in ((row, row), (item, item), (band, band - 1), (inner, inner))])
+    key = key[:, np.lexsort(key[::-1])]
+    new = np.ones(key.shape[1], bool)
+    new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+    key = key[:, new]  # each q-gram of the item counts once a band
+    first = np.ones(key.shape[1], bool)
+    first[1:] = (key[:3, 1:] != key[:3, :-1]).any(axis=0)
+    group = np.flatnonzero(first)
+    enough = np.diff(np.append(group, key.shape[1])) >= need[key[1, group]]
+    return key[:3, group[enough]]
 
 
 def find(items: Items, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, first byte, end byte) of the best region of each item found in each row."""
     text, starts, place = normalise(raw, offsets)
-    best: dict[tuple[int, int], tuple] = {}
+    best: dict[tuple[int, int], tuple[int, int]] = {}
     for q in items.tables:
-        at, item, inner = items.hits(text, q)
-        row = np.searchsorted(starts, at, side="right") - 1
-        inside = at + q <= starts[row + 1]
-        at, item, inner, row = at[inside], item[inside], inner[inside], row[inside]
-        if not len(at):
-            continue
-        k = np.array([b[0] for b in items.budgets])[item]
-        need = np.array([b[2] for b in items.budgets])
-        size = np.array([len(t) for t in items.texts])
-        diagonal = at - starts[row] - inner + size[item]  # never negative where the region has its start, shifted
-        band = diagonal // (k + 1)
-        # A band covers 2(k+1) diagonals: each hit counts in its own band and the one before.
-        rows2, items2 = np.concatenate([row, row]), np.concatenate([item, item])
-        bands2, spot = np.concatenate([band, band - 1]), np.concatenate([inner, inner])
-        key = np.stack([rows2, items2, bands2, spot])
-        order = np.lexsort(key[::-1])
-        key = key[:, order]
-        new = np.ones(key.shape[1], bool)
-        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
-        key = key[:, new]  # each q-gram of the item counts once a band
-        first = np.ones(key.shape[1], bool)
-        first[1:] = (key[:3, 1:] != key[:3, :-1]).any(axis=0)
-        group = np.flatnonzero(first)
-        count = np.diff(np.append(group, key.shape[1]))
-        enough = count >= need[key[1, group]]
-        for r, i, d in key[:3, group[enough]].T:
-            k_i, m = items.budgets[i][0], len(items.texts[i])
-            low = int(starts[r] + d * (k_i + 1) - m - k_i)
-            a, b = max(int(starts[r]), low), min(int(starts[r + 1]), low + 3 * (k_i + 1) + m + 2 * k_i)
-            edits, end = align(items.texts[i], text[a:b].tobytes(), k_i)
-            if edits <= k_i and (edits, a) < best.get((r, i), (k_i + 1, 0))[:2]:
-                best[r, i] = (edits, a, a + end)
+        for part in items.hits(text, q):
+            if not len(part[0]):
+                continue
+            found = candidates(items, q, *part, starts)
+            for i in np.unique(found[1]):
+                item, k = np.frombuffer(items.texts[i], np.uint8), items.budgets[i][0]
+                m, width = len(item), 2 * (k + 1)
+                rows, bands = found[0, found[1] == i], found[2, found[1] == i]
+                at_once = max(1, PART // (m + width))
+                for a in range(0, len(rows), at_once):
+                    rs = rows[a : a + at_once]
+                    bases = starts[rs] + bands[a : a + at_once] * (k + 1) - m
+                    edits, ends = align(item, np.stack([window(text, b, m + width - 1, starts[r], starts[r + 1]) for r, b in zip(rs, bases, strict=True)]))
+                    for r, e, end in zip(rs.tolist(), edits.tolist(), np.minimum(bases + ends + m, starts[rs + 1]).tolist(), strict=True):
+                        if e <= k and (e, end) < best.get((r, i), (k + 1, 0)):
+                            best[r, i] = (e, end)
     out = []
-    for (r, i), (edits, a, end) in sorted(best.items()):
-        _, back = align(items.texts[i][::-1], text[a:end].tobytes()[::-1], edits)
-        first = int(place[end - back]) if back else int(place[a])
-        out.append((int(r), int(i), int(edits), first - int(offsets[r]), int(place[end - 1]) + 1 - int(offsets[r])))
+    for (r, i), (edits, end) in sorted(best.items()):
+        # Backwards from its end the region begins on one of the diagonals that so many edits reach.
+        item = np.frombuffer(items.texts[i], np.uint8)[::-1]
+        m = len(item)
+        back = window(text, end - m - edits, m + 2 * edits, starts[r], end)[::-1]
+        _, diagonal = align(item, back[None])
+        begin = max(int(starts[r]), end - (int(diagonal[0]) - edits + m))
+        out.append((int(r), int(i), edits, int(place[begin]) - int(offsets[r]), int(place[end - 1]) + 1 - int(offsets[r])))
     return out
 
 
@@ -191,15 +244,22 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS):
 FOUND = "doc_id long, item_id long, edits long, first_byte long, end_byte long"
 
 
+def one_at_a_time(parts, name: str):
+    """The parts; if there are several, each is written before the next is asked for."""
+    parts = iter(parts)
+    first, second = next(parts, None), next(parts, None)
+    if second is None:
+        return [] if first is None else [first]
+    return [materialize(p, name) for p in itertools.chain([first, second], parts)]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """One row for each document and item found in it: edits and the byte span of the region in the text."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for ids, items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast((ids, items))  # at most BLOCK_CHARS and one item more
 
-        def run(batches, shared=shared):
+    def part(shared):
+        def run(batches):
             block = Items(*shared.value, rate)
             for batch in batches:
                 raw, offsets = T.string_buffers(batch.column(1))
@@ -210,18 +270,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "item_id", "edits", "first_byte", "end_byte"])
 
-        part = texts.mapInArrow(run, FOUND)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else spark.createDataFrame([], FOUND)
+        return texts.mapInArrow(run, FOUND)
+
+    # A broadcast is at most BLOCK_CHARS and one item more.
+    found = one_at_a_time((part(spark.sparkContext.broadcast(block)) for block in blocks(benchmark)), "found")
+    return functools.reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], FOUND)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` without those that hold an item, one filtering pass for each block of items."""
+    """``docs`` without those that hold an item, one filtering pass for each block of items; all columns stay."""
     spark, at = docs.sparkSession, docs.columns.index("text")
-    for ids, items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast((ids, items))  # at most BLOCK_CHARS and one item more
 
-        def run(batches, shared=shared):
+    def part(docs, shared):
+        def run(batches):
             block = Items(*shared.value, rate)
             for batch in batches:
                 raw, offsets = T.string_buffers(batch.column(at))
@@ -231,7 +292,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
                         clean[a + r] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(run, docs.schema)
+
+    for number, block in enumerate(blocks(benchmark)):
+        docs = part(materialize(docs, "clean") if number else docs, spark.sparkContext.broadcast(block))
     return docs
 
 

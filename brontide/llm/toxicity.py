@@ -1,19 +1,20 @@
 """Toxicity by subword-bag embeddings under a linear softmax.
 
 A word's vector is the sum of its character n-gram vectors (hashed, with word
-boundary marks) and a text's vector is the average over its words, but for those in repeats of
-an earlier passage of the text; a softmax over two classes reads it.  Embeddings and softmax are trained jointly in numpy
-on the driver.  A misspelt or newly inflected word shares most n-grams with the
+boundary marks) and a text's vector is the average over all its words; a softmax over two classes reads it.  Embeddings and
+softmax are trained jointly in numpy on the driver.  A misspelt or newly inflected word shares most n-grams with the
 words seen in training.
 
-The training sample is bounded: at most TRAIN_DOCS labelled rows, chosen by hash
-of doc_id, whose distinct n-grams are counted on the executors; what reaches the
-driver is at most TRAIN_DOCS sparse rows.  Scoring is one pass of Arrow batches
+The training sample is bounded: at most TRAIN_DOCS labelled documents, chosen by hash
+of doc_id, of which those count whose bags fit into TRAIN_BYTES.  Their n-grams are counted on the executors; what reaches the
+driver is those sparse bags.  Scoring is one pass of Arrow batches
 without shuffle: with two classes a word only needs the difference of the two
 class logits, so the model that travels is one float per bucket.
 
-Defined cases: a null or empty text scores by the bias alone; labels that are
-null are not learned from; without labels of both classes every score is 0.
+Defined cases: a null or empty text scores by the bias alone; a very long text is scored whole, piece of words by
+piece; repeated rows score alike, and a doc_id that is repeated is learned from once, by its least text, with its greatest label; a null
+doc_id is not held out and has no label; labels that are null are not learned from; without labels of both classes
+every score is 0; a score of exactly 0.5 is predicted toxic; a column named like the score is kept if another name is given; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,18 +26,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brontide.llm import textops as T
-from brontide.llm.shared import table
+from brontide.llm.shared import forget, materialize, table
 
-#: Most labelled rows that are learned from, whole texts each.
-TRAIN_DOCS = 4_000
+#: Most labelled documents that are learned from, whole texts each, and most bytes of their bags.
+TRAIN_DOCS, TRAIN_BYTES = 4_000, 192 << 20
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMENSIONS = 8
-EPOCHS, BATCH, RATE, SEED = 10, 16, 0.02, 7
-#: Words of a passage that repeats.
-WINDOW = 5
-#: Training texts that an n-gram must occur in.
-MIN_DOCS = 10
+EPOCHS, RATE, SEED = 10, 0.02, 7
+#: The softmax learns slower than the embeddings, by this factor.
+SLOWER = 1 / 16
+#: Share of the training texts that an n-gram must occur in: one of fewer tells those texts, not their class.
+LEAST_SHARE = 1 / 150
 #: The average of a text is multiplied by so much before the softmax.
 SCALE = 60.0
 #: Spread of the first embeddings.
@@ -72,18 +73,6 @@ def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return first, which
 
 
-def fresh_words(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Which words lie in no window of WINDOW words that equals an earlier one of their row."""
-    firsts, rows = T.window_starts(bounds, WINDOW)
-    windows = T.window_hashes(hashes, firsts, WINDOW)
-    order = np.lexsort((firsts, windows, rows))
-    again = order[1:][(windows[order][1:] == windows[order][:-1]) & (rows[order][1:] == rows[order][:-1])]
-    edge = np.zeros(len(hashes) + 1, np.int64)
-    np.add.at(edge, firsts[again], 1)
-    np.add.at(edge, firsts[again] + WINDOW, -1)
-    return np.cumsum(edge)[:-1] == 0
-
-
 def _training_batches(batches):
     """Sparse bags: for each row its buckets and their weights (average over words), with the label."""
     for batch in batches:
@@ -92,8 +81,6 @@ def _training_batches(batches):
             a, b = int(offsets[i]), int(offsets[i + 1])
             part = raw[a:b]
             starts, ends, _ = T.word_spans(part, np.array([0, b - a]))
-            fresh = fresh_words(T.word_hashes(part, starts, ends), np.array([0, len(starts)]))
-            starts, ends = starts[fresh], ends[fresh]
             first, which = distinct_words(part, starts, ends)
             words, buckets = word_grams(part, starts[first], ends[first])
             share = np.bincount(which, minlength=len(first)) / max(1, len(starts))
@@ -102,52 +89,45 @@ def _training_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, 1), batch.column(0).slice(i, 1), pa.array([keys.astype("<i4").tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())], names=["doc_id", "toxic", "buckets", "weights"])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS):
-    """At most ``limit`` bags of labelled rows outside the held-out fold, by hash order of doc_id."""
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
+    """The bags of at most ``limit`` labelled documents outside the held-out fold, by hash order of doc_id."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select("toxic", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_training_batches, "doc_id long, toxic int, buckets binary, weights binary").toLocalIterator()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return texts.select("toxic", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_training_batches, "doc_id long, toxic int, buckets binary, weights binary")
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias): joint stochastic gradient descent on embeddings and softmax, reduced to class 1 minus class 0."""
-    y_all = np.array(labels)
     if len(set(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
-    # An n-gram of few texts tells those texts, not their class: it stays at zero.
     seen = np.zeros(BUCKETS, np.int32)
     for b, _ in bags:
         seen[b] += 1  # a bag has each bucket once
-    seen = seen >= MIN_DOCS
-    bags = [(b[seen[b]], w[seen[b]]) for b, w in bags]
+    seen = seen >= LEAST_SHARE * len(bags)
+    bags = [(b[seen[b]], w[seen[b]] * np.float32(SCALE)) for b, w in bags]
     rng = np.random.default_rng(SEED)
     embed = rng.normal(0, INIT, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = rng.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32)
     # The bias stays at the classes' shares, so a text of unseen words scores the share of toxic ones.
-    bias = np.log(np.bincount(y_all, minlength=2) / len(y_all)).astype(np.float32)
+    bias = np.log(np.bincount(labels, minlength=2) / len(labels)).astype(np.float32)
     for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs)
-        for chunk in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // BATCH)):
-            keys = np.concatenate([bags[i][0] for i in chunk])
-            weights = np.concatenate([bags[i][1] for i in chunk]) * np.float32(SCALE)
-            sizes = np.array([len(bags[i][0]) for i in chunk])
-            row = np.repeat(np.arange(len(chunk)), sizes)
-            used, at = np.unique(keys, return_inverse=True)
-            x = np.stack([np.bincount(row, weights=weights * embed[keys, d], minlength=len(chunk)) for d in range(DIMENSIONS)], axis=1)
+        rate = np.float32(RATE * (1 - epoch / epochs))
+        for i in rng.permutation(len(bags)):
+            buckets, weights = bags[i]
+            vectors = embed[buckets]
+            x = weights @ vectors
             z = x @ out + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(chunk)), y_all[chunk]] -= 1
-            g_x = (p @ out.T).astype(np.float32)
-            g_o = x.T @ p
-            g_e = np.stack([np.bincount(at, weights=weights * g_x[row, d], minlength=len(used)) for d in range(DIMENSIONS)], axis=1)
-            embed[used] -= rate * g_e
-            out -= rate * g_o / len(chunk)
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            p[labels[i]] -= 1
+            embed[buckets] = vectors - (rate * weights)[:, None] * (out @ p)
+            out -= rate * np.float32(SLOWER) * np.outer(x, p)
     edge = (out[:, 1] - out[:, 0]) * np.float32(SCALE)
     return ((embed @ edge) * seen).astype(np.float32), float(bias[1] - bias[0])
 
@@ -155,8 +135,6 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs:
 def text_scores(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray, bias: float) -> np.ndarray:
     starts, ends, rows = T.word_spans(raw, offsets)
     n = len(offsets) - 1
-    fresh = fresh_words(T.word_hashes(raw, starts, ends), T.row_bounds(rows, n)) if len(starts) else np.zeros(0, bool)
-    starts, ends, rows = starts[fresh], ends[fresh], rows[fresh]
     z = np.zeros(n)
     if len(starts):
         first, which = distinct_words(raw, starts, ends)
@@ -167,17 +145,24 @@ def text_scores(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray, bias: f
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, bool]:
-    bags, y = [], []
+    rows = training_rows(docs, labels).select("*", F.xxhash64("doc_id").alias("place"))
+    rows = materialize(rows, "bags")
+    size, chosen = 0, set()
+    for r in sorted(rows.select("place", "doc_id", F.octet_length("buckets").alias("n")).collect()):  # TRAIN_DOCS at most
+        size += 2 * r["n"]
+        if size <= TRAIN_BYTES or not chosen:
+            chosen.add(r["doc_id"])
     # In order of doc_id: training doesn't depend on how rows are dealt out.
-    for r in sorted(training_rows(docs, labels), key=lambda r: (r["doc_id"], r["buckets"], r["weights"])):
-        bags.append((np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["weights"], np.float32)))
-        y.append(r["toxic"])
+    given = sorted((r["doc_id"], r["toxic"], bytes(r["buckets"]), bytes(r["weights"])) for r in rows.toLocalIterator() if r["doc_id"] in chosen)
+    bags = [(np.frombuffer(b, "<i4"), np.frombuffer(w, np.float32)) for _, _, b, w in given]
+    y = [toxic for _, toxic, _, _ in given]
+    forget(rows)
     return (*train(bags, y), len(set(y)) > 1)
 
 
-def score(docs: DataFrame, model: np.ndarray, bias: float, fitted: bool = True) -> DataFrame:
-    """``docs`` (all its columns) with ``toxicity`` between 0 and 1, replacing a column of that name."""
-    docs = docs.drop("toxicity")
+def score(docs: DataFrame, model: np.ndarray, bias: float, fitted: bool = True, name: str = "toxicity") -> DataFrame:
+    """``docs`` (all its columns) with a column ``name`` between 0 and 1, replacing one of that name."""
+    docs = docs.drop(name)
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast((model, bias))  # BUCKETS floats, a fixed size
 
@@ -187,9 +172,9 @@ def score(docs: DataFrame, model: np.ndarray, bias: float, fitted: bool = True)
             raw, offsets = T.string_buffers(batch.column(at))
             parts = [text_scores(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model, bias) for a, b in T.pieces(offsets)]
             found = np.concatenate(parts) if fitted and parts else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, name])
 
-    schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -69,3 +69,33 @@ def test_budget_obeys_the_lemma():
         k, q, need = D.budget(m)
         assert need >= 1 and (m < 4 or need <= max(1, m + 1 - q - k * q))
     assert np.all(D.gram_keys(np.frombuffer(b"abcdabcdabcd", np.uint8), 8)[[0]] == D.gram_keys(np.frombuffer(b"abcdabcdabcd", np.uint8), 8)[[4]])
+
+
+def test_many_hits_are_found_in_parts(spark, monkeypatch):
+    """A phrase that all items share, and texts that repeat it, give far more hits than a part holds."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 7)))
+    phrase = "the same old phrase of all the items "
+    items = [phrase + " ".join(word() for _ in range(9)) for _ in range(12)] + ["ab " * 25, "x" * 60]
+    docs = [phrase * 40, phrase * 9 + items[3] + phrase * 9, "ab " * 400, "x" * 900, "y" * 50 + "x" * 58 + "z" * 50, items[5][:-3] + " " + phrase * 20 + items[6]]
+    want = {(i, j): e for i, t in enumerate(docs) for j, b in enumerate(items) if (e := best_edits(plain(b).strip(b" "), plain(t))) <= D.budget(len(plain(b).strip(b" ")))[0]}
+    lengths = np.cumsum([0, *(len(d) for d in docs)])
+    raw = np.frombuffer("".join(docs).encode(), np.uint8)
+    block = D.Items(list(range(len(items))), items)
+    whole = D.find(block, raw, lengths)
+    for part in (50, 1000):
+        monkeypatch.setattr(D, "PART", part)
+        assert D.find(block, raw, lengths) == whole
+    assert {(r, i): e for r, i, e, *_ in whole} == want and (1, 3) in want and (5, 6) in want
+
+
+def test_repeated_rows_null_ids_and_blocks(spark, monkeypatch):
+    item = "a passage of the benchmark that some texts hold"
+    docs = spark.createDataFrame([(1, f"x {item} y", "c")] * 2 + [(None, item, "c"), (3, "nothing", "c"), (None, None, "c")], "doc_id long, text string, edits string")
+    bench = spark.createDataFrame([(7, item), (8, item), (None, item), (9, "another passage which no text has at all")], "item_id long, text string")
+    pairs = lambda: sorted(str(tuple(r)[:3]) for r in D.contaminated(docs, bench).collect())
+    want = sorted(str((d, i, 0)) for d in (1, 1, None) for i in (7, 8, None))
+    assert pairs() == want
+    monkeypatch.setattr(D, "BLOCK_CHARS", 50)
+    assert pairs() == want
+    assert sorted(str(tuple(r)) for r in D.without_leaks(docs, bench).collect()) == ["(3, 'nothing', 'c')", "(None, None, 'c')"]
