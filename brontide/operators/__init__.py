@@ -27,14 +27,33 @@ def right_anti(build: DataFrame, probe: DataFrame, on) -> DataFrame:
 
 
 def not_in(df: DataFrame, key: str, values: DataFrame, value: str) -> DataFrame:
-    """NOT IN (subquery), with SQL's rule for nulls: a null among the values keeps no row."""
-    return df.sparkSession.sql(f"SELECT * FROM {{df}} WHERE `{key}` NOT IN (SELECT `{value}` FROM {{values}})", df=df, values=values)
+    """NOT IN (subquery), with SQL's rule for nulls, by an anti join that may shuffle.
+
+    A null among the values keeps no row; a null key stays only if there are no values.
+    """
+    text = f"SELECT * FROM {{df}} WHERE (SELECT count(*) FROM {{values}}) = 0 OR (`{key}` IS NOT NULL AND (SELECT count(*) FROM {{values}} WHERE `{value}` IS NULL) = 0)"
+    may_stay = df.sparkSession.sql(text, df=df, values=values)
+    listed = values.select(F.col(value).alias("_value"))
+    return may_stay.join(listed, may_stay[key] == listed["_value"], "left_anti")
+
+
+#: A key is hot if it has more than this share of the left rows for each salt.
+HOT_SHARE = 0.25
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:
-    """An equi-join whose hot left keys are dealt over ``salts`` copies of the right rows (inner and left only)."""
-    dealt = left.withColumn("_salt", (F.rand(17) * salts).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
+    """An equi-join (inner and left only) whose hot left keys are dealt over ``salts`` copies of the right rows.
+
+    Keys are counted first; those with more than HOT_SHARE / salts of the left rows are hot, at most 4 * salts of them, and
+    only theirs are copied. The salt is a hash of the left row, so a task that runs again deals its rows as before.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    total = left.count()
+    hot = [r[0] for r in counts.where(F.col("n") > total * HOT_SHARE / salts).select(key).collect()]
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in left.columns)), F.lit(salts)).cast("int")
+    dealt = left.withColumn("_salt", F.when(is_hot, salt).otherwise(0))
+    copies = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
@@ -63,11 +82,29 @@ def limit_with_ties(df: DataFrame, n: int, *keys: tuple[str, bool]) -> DataFrame
     return df.join(bound, within | equal).select(*df.columns)
 
 
-def groups_frame(df: DataFrame, partition: Sequence[str], order: str, value: str, before: int, name: str) -> DataFrame:
-    """sum(value) over GROUPS BETWEEN before PRECEDING AND CURRENT ROW: peer groups are numbered, then ranged over."""
-    numbered = df.withColumn("_group", F.dense_rank().over(Window.partitionBy(*partition).orderBy(order)))
-    w = Window.partitionBy(*partition).orderBy("_group").rangeBetween(-before, 0)
-    return numbered.withColumn(name, F.sum(value).over(w)).drop("_group")
+def groups_frame(df: DataFrame, partition: Sequence[str], order: str, aggregate: Column, first: int, last: int, name: str) -> DataFrame:
+    """An aggregate over GROUPS BETWEEN: peer groups from ``first`` to ``last`` around the row's own (negative: preceding).
+
+    Peer groups are numbered, then ranged over.
+    """
+    grouped = df.withColumn("_group", F.dense_rank().over(Window.partitionBy(*partition).orderBy(order)))
+    w = Window.partitionBy(*partition).orderBy("_group").rangeBetween(first, last)
+    return grouped.withColumn(name, aggregate.over(w)).drop("_group")
+
+
+def groups_frame_excluding(df: DataFrame, partition: Sequence[str], order: str, value: str, first: int, last: int, exclude: str, name: str) -> DataFrame:
+    """sum(value) over a GROUPS frame around the row, EXCLUDE ``group``, ``ties`` or ``current row``: the frame's sum without theirs."""
+    grouped = df.withColumn("_group", F.dense_rank().over(Window.partitionBy(*partition).orderBy(order)))
+    w = Window.partitionBy(*partition).orderBy("_group")
+    frame, peers = w.rangeBetween(first, last), w.rangeBetween(0, 0)
+    own, one = F.coalesce(F.col(value), F.lit(0)), F.col(value).isNotNull().cast("int")
+    out_sum, out_count = {
+        "group": (F.coalesce(F.sum(value).over(peers), F.lit(0)), F.count(value).over(peers)),
+        "ties": (F.coalesce(F.sum(value).over(peers), F.lit(0)) - own, F.count(value).over(peers) - one),
+        "current row": (own, one),
+    }[exclude]
+    left = F.count(value).over(frame) - out_count
+    return grouped.withColumn(name, F.when(left > 0, F.sum(value).over(frame) - out_sum)).drop("_group")
 
 
 def numbered(df: DataFrame, key: str, name: str, ranges: int = 64) -> DataFrame:

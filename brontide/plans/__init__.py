@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Tables:
-    """Tables of a folder as attributes: ``t.lineitem``; ``t.cov`` is the mixed-type table of the ledger queries."""
+    """Tables of a folder as attributes: ``t.lineitem``; ``t.lines`` is lineitem as a table of many types."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -20,38 +21,34 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.load("lineitem").selectExpr(*COV_SPARK) if name == "cov" else self.load(name)
+        return self.load("lineitem").selectExpr(*(f"{form} AS {column}" for column, form in LINES)) if name == "lines" else self.load(name)
 
     def load(self, name: str) -> DataFrame:
         return load(self.spark, self.dir, name)
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """SQL over the tables it names in braces; the named frames come first."""
-        import re
-
         named = {n: frames.get(n) if n in frames else getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", text))}
         return self.spark.sql(text, **named)
 
 
-COV_SPARK = (
-    "cast(l_orderkey AS int) AS i4",
-    "l_orderkey * 1000 + l_linenumber AS i8",
-    "cast(l_partkey % 100 AS smallint) AS i2",
-    "l_extendedprice AS f8",
-    "cast(l_quantity AS float) AS f4",
-    "cast(l_extendedprice AS decimal(15,2)) AS n",
-    "concat('name ', l_partkey) AS t",
-    "concat('v', l_suppkey % 50) AS vc",
-    "rpad(concat('c', l_linenumber % 5), 10, ' ') AS bc",
-    "cast(l_shipdate AS date) AS d",
-    "l_shipdate AS ts",
-    "l_linenumber % 3 = 0 AS b",
-    "cast(nullif(l_suppkey % 11, 0) AS int) AS nul",
+#: Columns of the mixed-type table ``lines``: name, Spark's form, DuckDB's form if it differs.
+LINES = (
+    ("order_no", "cast(l_orderkey AS int)"),
+    ("line_no", "l_orderkey * 16 + l_linenumber"),
+    ("shelf", "cast(l_partkey % 120 AS smallint)"),
+    ("price", "l_extendedprice"),
+    ("qty", "cast(l_quantity AS float)"),
+    ("money", "cast(l_extendedprice AS decimal(15,2))"),
+    ("part_label", "concat(l_returnflag, l_linestatus, '/part ', l_partkey)"),
+    ("maker", "concat('maker-', l_suppkey % 40)"),
+    ("lane", "rpad(concat('lane', l_linenumber % 4), 8, ' ')"),
+    ("ship_day", "cast(l_shipdate AS date)"),
+    ("shipped", "l_shipdate"),
+    ("bulky", "l_quantity > 30"),
+    ("grade", "cast(nullif(l_suppkey % 13, 0) AS int)"),
 )
-COV = """cov AS (SELECT l_orderkey::INT AS i4, l_orderkey * 1000 + l_linenumber AS i8, (l_partkey % 100)::SMALLINT AS i2,
- l_extendedprice AS f8, l_quantity::FLOAT AS f4, l_extendedprice::DECIMAL(15,2) AS n, concat('name ', l_partkey) AS t,
- concat('v', l_suppkey % 50) AS vc, rpad(concat('c', l_linenumber % 5), 10, ' ') AS bc, l_shipdate::DATE AS d, l_shipdate AS ts,
- l_linenumber % 3 = 0 AS b, nullif(l_suppkey % 11, 0)::INT AS nul FROM lineitem)"""
+LINES_SQL = ", ".join(f"{form} AS {name}" for name, form in LINES)
 
 
 class Catalogue:
@@ -61,20 +58,22 @@ class Catalogue:
 
     def add(self, name: str, oracle: str | None, build: Callable[[Tables], DataFrame]) -> None:
         self.queries[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        if oracle and re.search(r"\blines\b", oracle):
+            oracle = f"WITH lines AS (SELECT {LINES_SQL} FROM lineitem) {oracle}"
         if oracle:
-            self.oracles[name] = f"WITH {COV} {oracle}" if " cov" in oracle and not oracle.startswith("WITH") else oracle.replace("WITH COV", f"WITH {COV}")
+            self.oracles[name] = oracle
 
     def conditions(self, name: str, *pairs: tuple[str, str] | str) -> None:
-        """Rows and a checksum of ``cov`` under each condition (Spark's form, DuckDB's form if it differs)."""
+        """Rows and a checksum of ``lines`` under each condition (Spark's form, DuckDB's form if it differs)."""
         both = [(p, p) if isinstance(p, str) else p for p in pairs]
 
         def build(t: Tables) -> DataFrame:
             from pyspark.sql import functions as F
 
-            cov, out = t.cov, None
+            lines, out = t.lines, None
             for k, (mine, _) in enumerate(both):
-                one = cov.where(mine).agg(F.lit(k).cast("bigint").alias("condition"), F.count("*").alias("n"), F.sum(F.col("i8").cast("decimal(38,0)")).cast("bigint").alias("checksum"))
+                one = lines.where(mine).agg(F.lit(k).cast("bigint").alias("condition"), F.count("*").alias("n"), F.sum(F.col("line_no").cast("decimal(38,0)")).cast("bigint").alias("checksum"))
                 out = one if out is None else out.unionAll(one)
             return out
 
-        self.add(name, " UNION ALL ".join(f"SELECT {k}::BIGINT AS condition, count(*) AS n, sum(i8)::BIGINT AS checksum FROM cov WHERE {theirs}" for k, (_, theirs) in enumerate(both)), build)
+        self.add(name, " UNION ALL ".join(f"SELECT {k}::BIGINT AS condition, count(*) AS n, sum(line_no)::BIGINT AS checksum FROM lines WHERE {theirs}" for k, (_, theirs) in enumerate(both)), build)

@@ -36,7 +36,7 @@ report("Q12_order_modes", "SELECT l_returnflag, cast(sum(CASE WHEN o_orderpriori
 report("Q13_customer_distribution", "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%URGENT%' GROUP BY c_custkey) x GROUP BY c_count ORDER BY custdist DESC, c_count DESC")
 report("Q14_promotion", "SELECT round(100.00 * cast(sum(CASE WHEN p_type LIKE 'PROMO%' THEN cast(l_extendedprice AS decimal(15,2)) ELSE 0 END) AS double) / cast(sum(cast(l_extendedprice AS decimal(15,2))) AS double), 9) AS promo_revenue FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP_NTZ '1995-01-01 00:00:00'")
 report("Q15_top_supplier", "WITH r AS (SELECT l_suppkey, sum(cast(l_extendedprice AS decimal(15,2)) * (1 - cast(l_discount AS decimal(4,2)))) AS total FROM {lineitem} WHERE l_shipdate >= TIMESTAMP_NTZ '1996-01-01 00:00:00' GROUP BY l_suppkey) SELECT s_suppkey, s_name, cast(total AS double) AS total FROM {supplier} JOIN r ON s_suppkey = l_suppkey WHERE total = (SELECT max(total) FROM r) ORDER BY s_suppkey")
-report("Q16_parts_suppliers", "WITH ps AS (PARTSUPP) SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM ps JOIN {part} ON p_partkey = ps_partkey WHERE p_brand <> 'Brand#45' AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49) AND ps_suppkey NOT IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size")
+report("Q16_parts_suppliers", "WITH ps AS (PARTSUPP) SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM ps JOIN {part} ON p_partkey = ps_partkey WHERE p_brand <> 'Brand#45' AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49) AND NOT EXISTS (SELECT 1 FROM {supplier} WHERE s_suppkey = ps_suppkey AND s_acctbal < 0) GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size")
 report("Q17_small_quantity", "SELECT round(cast(sum(cast(l_extendedprice AS decimal(15,2))) AS double) / 7.0, 6) AS avg_yearly FROM {lineitem} o JOIN {part} ON p_partkey = o.l_partkey WHERE p_size < 20 AND l_quantity < (SELECT 0.4 * avg(i.l_quantity) FROM {lineitem} i WHERE i.l_partkey = p_partkey)")
 report("Q18_large_volume", "SELECT c_name, c_custkey, o_orderkey, o_totalprice, cast(sum(cast(l_quantity AS decimal(15,2))) AS double) AS qty FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING sum(l_quantity) > 200) GROUP BY c_name, c_custkey, o_orderkey, o_totalprice ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 report("Q19_discounted_revenue", "SELECT " + VOLUME + " AS revenue FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE (p_brand LIKE '%1' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15) OR (p_brand LIKE '%2' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 25) OR (p_brand LIKE '%3' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 35)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -32,6 +34,28 @@ def save(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Se
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+_OWN: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; only in local mode, where one machine has all files, a temporary folder instead."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if set_dir:
+        return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "dir" not in _OWN:
+        _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="brontide-")
+    return _OWN["dir"]
+
+
+def saved(df: DataFrame, name: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> DataFrame:
+    """``save`` into a new folder of the shared one, read back."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    save(df, path, partition_by, sort_by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
     """A table bucketed and sorted by key: joins and groupings by it need no exchange."""
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)

@@ -1,8 +1,9 @@
-"""Comparison of a Spark result with DuckDB's: columns by name, rows as multisets, kinds of types."""
+"""Comparison of a Spark result with DuckDB's: columns by name, rows as multisets or in the oracle's order, kinds of types."""
 
 from __future__ import annotations
 
 import math
+import re
 
 KIND = {"tinyint": "int", "smallint": "int", "int": "int", "integer": "int", "bigint": "int", "hugeint": "huge", "double": "float", "float": "float", "string": "text", "varchar": "text", "boolean": "bool", "date": "date", "timestamp_ntz": "ts", "timestamp": "ts"}
 
@@ -13,9 +14,15 @@ def plain(value):
     return value
 
 
-def rows(names, data):
+def ordered(sql: str) -> bool:
+    """Whether the outermost query has an ORDER BY."""
+    return bool(re.search(r"ORDER BY [^()]*$", sql)) and " ORDER BY " in sql.rpartition(")")[2]
+
+
+def rows(names, data, in_order: bool = False):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted((tuple(plain(r[i]) for i in order) for r in data), key=lambda r: tuple((x is not None, str(x)) for x in r))
+    out = [tuple(plain(r[i]) for i in order) for r in data]
+    return out if in_order else sorted(out, key=lambda r: tuple((x is not None, str(x)) for x in r))
 
 
 def compare(df, connection, sql: str | None) -> str:
@@ -32,7 +39,8 @@ def compare(df, connection, sql: str | None) -> str:
     own = {n: KIND.get(t, t) for n, t in df.dtypes}
     if own != kinds:
         return f"types {[(n, own[n], kinds[n]) for n in own if own[n] != kinds[n]]}"
-    a, b = rows(df.columns, mine), rows(names, theirs)
+    keep = ordered(sql)
+    a, b = rows(df.columns, mine, keep), rows(names, theirs, keep)
     if len(a) != len(b):
         return f"{len(a)} and {len(b)} rows"
     return next((f"{x} and {y}" for x, y in zip(a, b, strict=True) if x != y), "")

@@ -48,7 +48,122 @@ def test_own_errors(spark):
     with pytest.raises(Exception, match="negative substring"):
         one(spark, pg.substring(F.lit("x"), 1, F.lit(-1)))
     with pytest.raises(Exception, match="overflow"):
-        one(spark, pg.checked_float(F.lit(1e308) * 10))
+        one(spark, pg.checked_float(F.lit(1e308) * 10, F.lit(1e308)))
+    with pytest.raises(Exception, match="overflow"):
+        one(spark, pg.float_product(F.lit(1e308), F.lit(10.0)))
+    for under in (pg.float_product(F.lit(1e-300), F.lit(1e-300)), pg.float_quotient(F.lit(1e-300), F.lit(1e300))):
+        with pytest.raises(Exception, match="underflow"):
+            one(spark, under)
+    with pytest.raises(Exception, match="division by zero"):
+        one(spark, pg.float_quotient(F.lit(1.0), F.lit(0.0)))
+
+
+def test_floats_of_infinite_operands_and_zeros(spark):
+    inf = float("inf")
+    assert one(spark, pg.checked_float(F.lit(inf) + 1, F.lit(inf))) == inf
+    assert one(spark, pg.float_product(F.lit(-inf), F.lit(2.0))) == -inf
+    assert one(spark, pg.float_product(F.lit(0.0), F.lit(1e-300))) == 0.0
+    assert one(spark, pg.float_quotient(F.lit(5.0), F.lit(inf))) == 0.0
+    assert one(spark, pg.float_quotient(F.lit(0.0), F.lit(5.0))) == 0.0
+    assert one(spark, pg.float_product(F.lit(None).cast("double"), F.lit(2.0))) is None
+
+
+def test_pieces_of_null_and_far_arguments(spark):
+    null, most = F.lit(None).cast("int"), 2147483647
+    for piece in (pg.substring(F.lit("hello"), null), pg.substring(F.lit("hello"), null, 2), pg.substring(F.lit("hello"), 2, null), pg.substring(F.lit(None).cast("string"), 2, F.lit(-1)), pg.left(F.lit("hello"), null), pg.right(F.lit(None).cast("string"), 2)):
+        assert one(spark, piece) is None
+    assert one(spark, pg.substring(F.lit("hello"), 2, most)) == "ello"
+    assert one(spark, pg.substring(F.lit("hello"), -most, most)) == ""
+    assert one(spark, pg.substring(F.lit("hello"), most, most)) == ""
+    assert one(spark, pg.substring(F.lit("hello"), -3)) == "hello"
+    rows = spark.createDataFrame([("hello", 2), ("hello", -2), ("hello", None), ("hello", -most - 1), (None, 1)], "t string, n int")
+    got = rows.select(pg.left("t", F.col("n")).alias("l"), pg.right("t", F.col("n")).alias("r"), pg.substring("t", F.col("n"), F.lit(3)).alias("s")).collect()
+    assert [tuple(r) for r in got] == [("he", "lo", "ell"), ("hel", "llo", ""), (None, None, None), ("", "", ""), (None, None, None)]
+
+
+def test_aggregates_of_nulls_in_order(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", None, "y"), ("a", 2, None), ("a", 2, "w"), ("b", 1, None)], "g string, k int, v string")
+    found = lambda column: {r.g: r.x for r in rows.groupBy("g").agg(column.alias("x")).collect()}
+    assert found(pg.string_agg("v", ",", "k")) == {"a": "x,w,y", "b": None}
+    assert found(pg.string_agg("v", ",", ("k", False))) == {"a": "y,w,x", "b": None}
+    assert found(pg.array_agg("v", ("k", False), "v")) == {"a": ["y", "w", None, "x"], "b": [None]}
+    assert found(pg.json_agg("k", "v")) == {"a": "[2,1,null,2]", "b": "[1]"}
+    sums = spark.sql("SELECT cast(0.0049 AS decimal(9,4)) AS x UNION ALL SELECT cast(0.0049 AS decimal(9,4))").agg(pg.exact_sum("x").alias("s"), pg.avg_exact("x").alias("a")).first()
+    assert (sums.s, sums.a) == (0.0098, 0.0049)
+
+
+def test_fields_in_a_zone_with_summer_time(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        text = lambda column: one(spark, column.cast("string"))
+        gap = F.expr("TIMESTAMP_NTZ '2021-03-14 02:30:15.123456'")  # a local time that no clock there shows
+        assert [text(pg.date_trunc(u, gap)) for u in ("hour", "minute", "second", "milliseconds", "day", "week", "century")] == ["2021-03-14 02:00:00", "2021-03-14 02:30:00", "2021-03-14 02:30:15", "2021-03-14 02:30:15.123", "2021-03-14 00:00:00", "2021-03-08 00:00:00", "2001-01-01 00:00:00"]
+        assert one(spark, pg.extract("hour", gap)) == 2
+        zoned = F.expr("TIMESTAMP '2021-03-14 10:30:00Z'")  # half past three there
+        assert one(spark, pg.extract("hour", zoned)) == 3 and one(spark, pg.extract("epoch", zoned, zoned=True)) == 1615717800.0
+        assert one(spark, pg.extract("epoch", F.expr("TIMESTAMP '1970-01-01 00:00:00Z'"), zoned=True)) == 0.0
+        assert one(spark, pg.extract("epoch", F.expr("TIMESTAMP_NTZ '1970-01-02 00:00:01'"))) == 86401.0
+        assert text(pg.date_trunc("day", zoned, zoned=True)) == "2021-03-14 00:00:00"
+        assert one(spark, F.unix_micros(pg.date_trunc("day", zoned, zoned=True))) == 1615708800000000  # still winter time
+        assert text(F.expr("cast(TIMESTAMP '2021-03-15 05:00:00Z' AS date)")) == "2021-03-14"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_not_in_and_salted_join(spark):
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "k int")
+    keys = lambda df: sorted((r.k for r in df.collect()), key=str)
+    assert keys(ops.not_in(frame([1, 2, None]), "k", frame([2]), "k")) == [1]
+    assert keys(ops.not_in(frame([1, 2, None]), "k", frame([2, None]), "k")) == []
+    assert keys(ops.not_in(frame([1, 2, None]), "k", frame([]), "k")) == [1, 2, None]
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)] + [(None, -1)], "k int, v int")
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(0, 3000, 2)] + [(1, "hot"), (1, "twice")], "k int, w string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, "k", how).select("k", "v", "w").collect()))
+        assert sorted(map(str, ops.salted_join(left, right, "k", 8, how).select("k", "v", "w").collect())) == want
+    shape = plan(ops.salted_join(left, right, "k", 8))
+    assert "rand" not in shape
+
+
+def test_an_unsorted_result_fails_where_the_oracle_is_ordered(spark):
+    duck = duckdb.connect()
+    sql = "SELECT x AS k FROM range(50) AS r(x) ORDER BY k DESC"
+    assert compare(spark.range(50).toDF("k").orderBy(F.desc("k")), duck, sql) == ""
+    assert compare(spark.range(50).toDF("k"), duck, sql) != ""
+    assert compare(spark.range(50).toDF("k"), duck, sql.partition(" ORDER")[0]) == ""
+
+
+def test_extension_surface(spark, sf_dir):
+    from brontide import extend
+
+    with pytest.raises(KeyError, match="top_of_each"):
+        extend.apply(spark.range(1), "no such node")
+
+    @extend.node("doubled")
+    def doubled(df, column):
+        return df.withColumn(column, F.col(column) * 2)
+
+    assert extend.apply(spark.range(3), "doubled", column="id").agg(F.sum("id")).first()[0] == 6
+    source = extend.squares(spark).option("rows", 700).load()
+    assert source.count() == 700 and source.rdd.getNumPartitions() == 3
+    found = extend.counters(sources.load(spark, sf_dir, "orders").groupBy("o_orderstatus").count())
+    assert {"HashAggregate", "Exchange"} <= {name for name, _ in found}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sources.scratch(Session())
 
 
 def test_null_logic(spark):
@@ -68,6 +183,11 @@ def test_plans(spark, sf_dir):
     assert ops.small(lines, 10) is lines
     null_aware = plan(ops.not_in(sources.load(spark, sf_dir, "nation"), "n_nationkey", sources.load(spark, sf_dir, "supplier"), "s_nationkey"))
     assert "LeftAnti" in null_aware and "Cartesian" not in null_aware
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in plan(ops.not_in(sources.load(spark, sf_dir, "nation"), "n_nationkey", sources.load(spark, sf_dir, "supplier"), "s_nationkey"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_partition_pruning_and_buckets(spark, sf_dir, tmp_path):
