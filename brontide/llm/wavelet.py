@@ -6,45 +6,60 @@ parted by it.  With rank on the planes this supports access to any token, counti
 id in any range, and finding its occurrences (select), all from the one file.
 
 File: a header (magic, tokens, planes, documents), the documents' ids and
-lengths, the zeros of each plane, and each plane's bits in zlib blocks of
-BLOCK_BITS with the ones before each block, so a look-up inflates one block a plane.
+lengths, the zeros of each plane, and each plane's bits in zstd blocks of
+BLOCK_BITS with the ones before each block, so a look-up unpacks one block a plane.
 A file is the ``data`` value of one Parquet row, for any store that Spark writes.
 
-Documents are range-partitioned by doc_id into shards of bounded size; ids are made
-by the tokenizers library.  A byte-level pre-token that holds a space starts with it,
-so a text is cut before single spaces and each distinct segment is encoded once a
-batch (a text with two blanks in a row is encoded whole).
+Documents are range-partitioned by doc_id (and, among equal ones, by a hash of the text, so a hot id is split) into shards of bounded size; ids are made
+by the tokenizers library.  A pre-token of the byte-level pattern never reaches over a single space or line end between two words,
+so a text whose words are parted by such only is the sequence of its words, each with the space or line end before it; each distinct
+word is encoded once a worker (until the worker's memo is full), by the library's model if all its characters are below FIRST_WHOLE and by
+the whole library else.  Other texts, and those with an added token of the vocabulary, are encoded whole.  Words are told apart by
+64 bits of hash within a batch and 96 bits between batches.
 
-Defined cases: a null text is an empty one and has the end id alone; repeated
-documents are stored each; an empty table makes no file.
+Defined cases: a null text is an empty one and has the end id alone; a null doc_id comes before all others; repeated
+documents are stored each, rows of equal doc_id in order of their texts' hashes, then texts, so equal runs give equal files up to copies; a very long text is
+in one file, whole; other columns are not read; an empty table makes no file.
 """
 
 from __future__ import annotations
 
 import functools
-import re
+import json
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brontide.llm import exchange as X
+from brontide.llm import textops as T
 from brontide.llm.shared import materialize, table
 
-MAGIC = b"BWM1"
+MAGIC = b"BWM2"
 BLOCK_BITS = 1 << 16
 END_ID = 2
+CODEC = pa.Codec("zstd", compression_level=1)
 #: Stands for a null doc_id in a file.
 NO_ID = -(1 << 63)
 #: Bytes of text of a shard: with about 3 bytes a token, some 3 million tokens.
 SHARD_BYTES = 8 << 20
-#: Segments kept in a worker before it starts anew, and texts cut and encoded together.
-MEMO = 700_000
-TEXTS = 256
+#: Words kept in a worker before it starts anew, and bytes of text cut into words together.
+MEMO = 3_000_000
+PIECE_BYTES = 4 << 20
+#: The byte-level pattern, for words whose characters are in long-settled blocks: below this.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+FIRST_WHOLE = "\u0250"
+#: Marks that end words most.
+MARKS = ".,;:!?"
+#: What stands before a word: the text's start, a space, a line end.
+START, SPACE, LINE = 0, 1, 2
+#: Partitions whose files' starts are summed in one window.
+STARTS = 4096
 
 
 def plane_bits(ids: np.ndarray) -> int:
@@ -63,7 +78,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
         ones, blocks = 0, []
         for a in range(0, len(bits), size):
             part = bits[a : a + size]
-            data = zlib.compress(np.packbits(part).tobytes(), 1)
+            data = CODEC.compress(np.packbits(part).tobytes(), asbytes=True)
             blocks.append((ones, len(data)))
             out.append(data)
             ones += int(part.sum())
@@ -100,8 +115,9 @@ class WaveletMatrix:
 
     def _block(self, plane: int, number: int) -> np.ndarray:
         k = plane * self.blocks + number
-        raw = zlib.decompress(self.data[self.places[k] : self.places[k + 1]])
-        return np.unpackbits(np.frombuffer(raw, np.uint8), count=min(BLOCK_BITS, self.n - number * BLOCK_BITS))
+        count = min(BLOCK_BITS, self.n - number * BLOCK_BITS)
+        raw = CODEC.decompress(self.data[self.places[k] : self.places[k + 1]], -(-count // 8), asbytes=True)
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=count)
 
     def rank1(self, plane: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
@@ -165,136 +181,214 @@ class WaveletMatrix:
         return now.astype(np.uint32)
 
 
+def byte_characters() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible, else one from U+0100 on."""
+    visible = [c for c in range(256) if chr(c).isprintable() and chr(c) != " " and c != 0xAD]
+    others = iter(range(256, 512))
+    return "".join(chr(c) if c in visible else chr(next(others)) for c in range(256))
+
+
 class Encoder:
-    """The tokenizers library with a memo of segments.
+    """The tokenizers library with a memo of words.
 
-    A text is cut at its spaces.  A segment is safe if it isn't empty, neither starts nor
-    ends with a blank and holds no two in a row: then no pre-token reaches over a cut.
-    A text with an unsafe segment is encoded whole.
+    ``special_as_text``: the vocabulary's added tokens are ordinary text where a text has their strings.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.safe = re.compile(r"\S+(\s\S+)*").fullmatch
+        self.library.encode_special_tokens = special_as_text
+        self.added = [] if special_as_text else [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
+        plan = json.loads(self.library.to_str())
+        before = plan["pre_tokenizer"] or {}
         self.line_end = self.library.encode("\n", add_special_tokens=False).ids
-        #: Ids of a segment that starts a text, and of one after a space; None if it is unsafe.
-        self.first: dict[str, bytes | None] = {}
-        self.after: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memo: dict, new: list[str], lead: str) -> None:
-        """Segments without a blank are encoded as one text of lines: a line end is a pre-token, and a token, of its own."""
-        lone = [s for s in new if len(s.split()) == 1 and not s[0].isspace() and not s[-1].isspace()]
-        for a in range(0, len(lone), 2000):
-            part = lone[a : a + 2000]
-            ids = np.array(self.library.encode_batch_fast(["\n".join([lead + s for s in part])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line_end[0])
-            if len(self.line_end) != 1 or len(cuts) != len(part) - 1:
-                continue
-            data = ids.tobytes()
-            ends = [*(4 * cuts).tolist(), len(data)]
-            begin = 0
-            for s, end in zip(part, ends, strict=True):
-                memo[s] = data[begin:end]
-                begin = end + 4
-        rest = [s for s in new if s not in memo]
-        safe = [s for s in rest if self.safe(s)]
-        memo.update(dict.fromkeys(rest))
-        memo.update(zip(safe, self._ids([lead + s for s in safe]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.split(" ") for t in texts]
-        if len(self.after) > MEMO:
-            self.after.clear()
-            self.first.clear()
-        heads = [c.pop(0) for c in cut]
-        self._learn(self.first, list(set(heads) - self.first.keys()), "")
-        self._learn(self.after, list(set().union(*cut) - self.after.keys()), " ")
-        self.first[""] = b""
-        out, get = [], self.after.__getitem__
-        for text, head, segments in zip(texts, heads, cut, strict=True):
-            parts = [self.first[head], *map(get, segments)]
-            out.append(self._ids([text])[0] if None in parts else b"".join(parts))
-        return out
+        #: Whether words can be encoded apart: a byte-level BPE without normalisation.
+        self.by_words = plan["normalizer"] is None and (before.get("type"), before.get("use_regex"), before.get("add_prefix_space")) == ("ByteLevel", True, False) and plan["model"]["type"] == "BPE"
+        of_byte = byte_characters()
+        self.characters = {ord(c): "".join(of_byte[b] for b in c.encode()) for c in map(chr, range(ord(FIRST_WHOLE))) if of_byte[ord(c) & 255] != c or ord(c) > 127}
+        self.space = self.characters[0x20]
+        self.marks = {c: self.library.encode(c, add_special_tokens=False).ids for c in MARKS}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Sorted keys of known words, with their second hash and their ids' place in ``ids``; a word of -1 ids can't be encoded apart.
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.places, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _model_ids(self, piece: str) -> list[int]:
+        """Ids of a pre-token of settled characters."""
+        return [t.id for t in self.model.tokenize(piece.translate(self.characters))]
+
+    def word_ids(self, word: str, lead: int) -> list[int] | None:
+        """Ids of a word with what stands before it; None if it holds white space, which could join with what is around."""
+        body, mark = (word[:-1], word[-1]) if word[-1] in MARKS else (word, "")
+        if body.isalpha() and (body.isascii() or max(body) < FIRST_WHOLE):
+            # One pre-token of letters, and the mark as one of its own.
+            letters = body if body.isascii() else body.translate(self.characters)
+            found = [t.id for t in self.model.tokenize(self.space + letters if lead == SPACE else letters)]
+            if mark:
+                found += self.marks[mark]
+        elif not word.isprintable() and any(c.isspace() for c in word):
+            return None
+        elif max(word) < FIRST_WHOLE:
+            found = [i for piece in PATTERN.findall(f" {word}" if lead == SPACE else word) for i in self._model_ids(piece)]
+        else:
+            found = self.library.encode(f" {word}" if lead == SPACE else word, add_special_tokens=False).ids
+        return self.line_end + found if lead == LINE else found
+
+    def _learn(self, at: np.ndarray, keys: np.ndarray, checks: np.ndarray, words: list[str], leads: list[int]) -> None:
+        """Put new words into the memo; ``at`` are their sorted places."""
+        found = [self.word_ids(w, lead) for w, lead in zip(words, leads, strict=True)]
+        sizes = np.array([-1 if f is None else len(f) for f in found], np.int64)
+        flat = np.array([i for f in found if f is not None for i in f], np.uint32)
+        ends = np.cumsum(np.maximum(sizes, 0))
+        self.places = np.insert(self.places, at, len(self.ids) + ends - np.maximum(sizes, 0))
+        self.sizes, self.keys, self.checks = np.insert(self.sizes, at, sizes), np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.ids = np.concatenate([self.ids, flat])
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids of each), of texts as UTF-8 bytes and their offsets; ``end`` closes each text."""
+        n = len(offsets) - 1
+        starts, ends, rows = T.word_spans(raw, offsets)
+        first = np.ones(len(starts), bool)
+        first[1:] = rows[1:] != rows[:-1]
+        gap = starts - np.where(first, offsets[rows], np.concatenate([[0], ends[:-1]])) if len(starts) else starts
+        before = raw[np.maximum(starts - 1, 0)]
+        lead = np.where(gap == 0, START, np.where(before == 0x20, SPACE, LINE))
+        odd = (gap > 1) | ((gap == 1) & (before != 0x20) & (before != 0x0A))
+        plain = np.full(n, self.by_words)
+        plain[rows[odd]] = False
+        lasts = np.zeros(n, np.int64)
+        lasts[rows] = ends
+        lasts = np.where(np.bincount(rows, minlength=n) > 0, lasts, offsets[:-1])
+        plain[lasts != offsets[1:]] = False  # white space at the end
+        data = raw.tobytes()
+        if any(t.encode() in data for t in self.added):
+            for i in range(n):
+                plain[i] &= not any(t.encode() in data[offsets[i] : offsets[i + 1]] for t in self.added)
+        here = plain[rows]
+        places, sizes = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        if here.any():
+            places[here], sizes[here] = self._known(raw, data, starts[here], ends[here], lead[here])
+            plain[rows[here][sizes[here] < 0]] = False
+            here = plain[rows]
+        # A text is its words' ids, or one run of ids of its own; then the end.
+        other = np.flatnonzero(~plain)
+        runs = self.whole([data[offsets[i] : offsets[i + 1]].decode() for i in other])
+        tail = np.concatenate([*runs, np.array([] if end is None else [end])]).astype(np.uint32)
+        run_sizes = np.array([len(r) for r in runs], np.int64)
+        run_places = len(self.ids) + np.cumsum(run_sizes) - run_sizes
+        parts = [(rows[here], places[here], sizes[here]), (other, run_places, run_sizes)]
+        if end is not None:
+            parts.append((np.arange(n), np.full(n, len(self.ids) + len(tail) - 1), np.ones(n, np.int64)))
+        row, place, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(row, kind="stable")
+        row, place, size = row[order], place[order], size[order]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        index = np.repeat(place - (ends - size), size) + np.arange(total)
+        return np.concatenate([self.ids, tail])[index], np.bincount(row, weights=size, minlength=n).astype(np.int64)
+
+    def _known(self, raw, data, starts, ends, lead) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) of the ids of each word, learning those that are new."""
+        found = T.word_hashes(raw, starts, ends)
+        keys, one, which = np.unique(T.mix(found + lead.astype(np.uint64)), return_index=True, return_inverse=True)
+        checks = (T.word_hashes(raw, starts[one], ends[one], 1) >> np.uint64(32)).astype(np.uint32)
+        if len(self.keys) > MEMO:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        there = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        there[inside] = self.keys[at[inside]] == keys[inside]
+        new = np.flatnonzero(~there)
+        spans = zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)
+        self._learn(at[new], keys[new], checks[new], [data[a:b].decode() for a, b in spans], lead[one[new]].tolist())
+        at = np.searchsorted(self.keys, keys)
+        sizes = np.where(self.checks[at] == checks, self.sizes[at], -1)  # another word of the same key: not apart
+        return self.places[at][which], sizes[which]
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, special_as_text: bool = False) -> Encoder:
     import public_tokenizers
 
-    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
+    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"), special_as_text)
 
 
-def _file_rows(batches, path):
+def _file_rows(batches, path, special_as_text):
     """One file for each run of about SHARD_BYTES of a sorted partition."""
-    coder = encoder(path)
-    docs: list[int] = []
-    parts: list[bytes] = []
-    end = np.array([END_ID], "<u4").tobytes()
+    coder = encoder(path, special_as_text)
+    docs: list[np.ndarray] = []
+    ids: list[np.ndarray] = []
+    lengths: list[np.ndarray] = []
     size = count = 0
     at = TaskContext.get().partitionId()
 
     def flush():
-        lengths = [len(p) // 4 for p in parts]
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        known = np.array([NO_ID if d is None else d for d in docs], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([at << 32 | count], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([build(ids, known, np.array(lengths))], pa.binary())], names=["file", "n_tokens", "data"])
+        tokens = np.concatenate(ids)
+        file = build(tokens, np.concatenate(docs), np.concatenate(lengths))
+        return pa.RecordBatch.from_arrays([pa.array([at << 32 | count], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([file], pa.binary())], names=["file", "n_tokens", "data"])
 
     for batch in batches:
-        for a in range(0, batch.num_rows, TEXTS):
-            texts = [t or "" for t in batch.column(1).slice(a, TEXTS).to_pylist()]
-            for doc, text, ids in zip(batch.column(0).slice(a, TEXTS).to_pylist(), texts, coder.encode(texts), strict=True):
-                docs.append(doc)
-                parts.append(ids + end)
-                size += len(text)
-                if size >= SHARD_BYTES:
-                    yield flush()
-                    docs, parts, size, count = [], [], 0, count + 1
+        raw, offsets = T.string_buffers(batch.column(1))
+        known = batch.column(0)
+        known = np.where(known.is_null(), NO_ID, known.fill_null(0)).astype(np.int64)
+        for a, b in T.pieces(offsets, PIECE_BYTES):
+            found, sizes = coder.encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], END_ID)
+            docs.append(known[a:b])
+            ids.append(found)
+            lengths.append(sizes)
+            size += int(offsets[b] - offsets[a])
+            if size >= SHARD_BYTES:
+                yield flush()
+                docs, ids, lengths, size, count = [], [], [], 0, count + 1
     if docs:
         yield flush()
 
 
-def write_files(docs: DataFrame, path: str | None = None) -> DataFrame:
+def write_files(docs: DataFrame, path: str | None = None, special_as_text: bool = False) -> DataFrame:
     """(file, n_tokens, data): the files, in the shared folder; ascending file numbers hold ascending doc_ids."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = X.shard_count(X.text_bytes(docs), SHARD_BYTES)
-    dealt = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return materialize(dealt.mapInArrow(lambda batches: _file_rows(batches, path), "file long, n_tokens long, data binary"), "token-files")
+    place = F.xxhash64("text").alias("place")
+    dealt = docs.select("doc_id", "text", place).repartitionByRange(n, "doc_id", "place").sortWithinPartitions("doc_id", "place", "text")
+    return materialize(dealt.select("doc_id", "text").mapInArrow(lambda batches: _file_rows(batches, path, special_as_text), "file long, n_tokens long, data binary"), "token-files")
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
+def file_starts(files: DataFrame) -> DataFrame:
+    """(file, before): the tokens of all files before each, by sums of STARTS partitions and then within them."""
+    sizes = files.select("file", "n_tokens", F.expr(f"shiftright(file, 32) div {STARTS}").alias("part"))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    # One row for STARTS * SHARD_BYTES of text.
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.withColumn("within", F.coalesce(within, F.lit(0))).join(parts, "part").select("file", (F.col("start") + F.col("within")).alias("before"))
 
-    ``start`` of a file is the sum of the tokens of the files before it; those sums
-    are numbers of files (one for SHARD_BYTES of text), added up in order.
-    """
+
+def read_files(files: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 matrix = WaveletMatrix(r["data"])
-                ids = matrix.tokens()
+                data = memoryview(matrix.tokens().astype("<u4").tobytes())
                 ends = np.cumsum(matrix.lengths)
                 starts = ends - matrix.lengths
-                crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
+                crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(matrix.doc_ids, mask=matrix.doc_ids == NO_ID), pa.array(np.full(len(ends), r["file"], np.int64)), pa.array(starts), pa.array(matrix.lengths), pa.array(crcs, pa.int64())], names=["doc_id", "file", "inner", "n_tokens", "ids_crc32"])
 
-    order, total = {}, 0
-    for r in sorted(files.select("file", "n_tokens").collect()):  # 16 bytes for each SHARD_BYTES of text
-        order[r["file"]] = total
-        total += r["n_tokens"]
-    starts = files.sparkSession.createDataFrame(list(order.items()), "file long, before long")
     found = files.select("file", "data").mapInArrow(run, "doc_id long, file long, inner long, n_tokens long, ids_crc32 long")
-    return found.join(F.broadcast(starts), "file").select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(file_starts(files), "file").select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op6_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:

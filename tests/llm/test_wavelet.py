@@ -11,13 +11,7 @@ from brontide.llm import wavelet
 from tests.llm import cases
 
 
-def library():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
-
-
-LIBRARY = library()
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @settings(max_examples=60, deadline=None)
@@ -37,13 +31,41 @@ def test_access_count_and_occurrences(ids, block):
         wavelet.BLOCK_BITS = old
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet=" \n\ta'sé1.<|>日 　\x1c", max_size=30)), max_size=6))
-def test_segments_encode_as_whole_texts(texts):
-    texts = [t.encode("utf-8", "ignore").decode() for t in texts] + ["the end<|endoftext|> of"]
-    got = wavelet.encoder().encode(texts)
-    for t, g in zip(texts, got, strict=True):
-        assert np.frombuffer(g, "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+def encoded(coder, texts, end=None):
+    data = [t.encode() for t in texts]
+    ids, sizes = coder.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), end)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+SPECIAL = ["the end<|endoftext|> of", "foo <|endoftext|> bar", "<|endoftext|>", "<|endoftext|", "a\nb c\nd.", " lead", "tail ", "tail\n", "two  blanks", "don't we'll o'n'S", "naïve größe, déjà!", "日本 語 x", "a\u00a0b c\u2028d", "x\x1cy z\x85"]
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet=" \n\ta'sé1.<|>日 　\x1c", max_size=30), st.text(alphabet="ab é.,!'\n", max_size=30)), min_size=1, max_size=6))
+def test_words_encode_as_whole_texts(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts] + SPECIAL
+    assert encoded(wavelet.encoder(), texts) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(wavelet.encoder(), texts, 2) == [[*LIBRARY.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_added_tokens_as_text():
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    assert encoded(wavelet.encoder(None, True), SPECIAL) == [plain.encode(t, add_special_tokens=False).ids for t in SPECIAL]
+    assert encoded(wavelet.encoder(None, True), SPECIAL) != encoded(wavelet.encoder(), SPECIAL)
+
+
+def test_a_full_memo_and_words_of_one_key(monkeypatch):
+    coder = wavelet.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r[1] or "" for r in cases.documents()]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    for memo in (0, 40):
+        monkeypatch.setattr(wavelet, "MEMO", memo)
+        for _ in range(2):
+            assert encoded(coder, texts) == want
+    coder.checks ^= np.uint32(1)  # as if every known word were another one of the same key
+    monkeypatch.setattr(wavelet, "MEMO", 1 << 40)
+    assert encoded(coder, texts) == want
 
 
 def test_query_against_the_library(spark, tmp_path, monkeypatch):
@@ -58,5 +80,20 @@ def test_query_against_the_library(spark, tmp_path, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_starts_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "STARTS", 2)
+    monkeypatch.setattr(wavelet, "SHARD_BYTES", 500)
+    rows = [(i % 7 if i % 5 else None, f"text {i % 11} of some words " * (1 + i % 3), 1) for i in range(300)] + [(3, None, 1)] * 3
+    got = wavelet.read_files(wavelet.write_files(spark.createDataFrame(rows, "doc_id long, text string, file int"))).orderBy("start").collect()
+    assert len(got) == len(rows)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    sizes = lambda found: sorted((str(i), n) for i, n in found)
+    assert sizes((r.doc_id, r.n_tokens) for r in got) == sizes((i, len(LIBRARY.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _ in rows)
+
+
 def test_empty_table(spark, tmp_path):
     assert wavelet.op6_wavelet_files(spark, cases.write(spark, tmp_path, [])).collect() == []
