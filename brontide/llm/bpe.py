@@ -9,14 +9,14 @@ match of the pattern) is byte-mapped and encoded by the processor unless it is a
 vocabulary entry itself, as tiktoken does; ids decode by the inverse map.
 
 A rank-ordered merge needs each intermediate piece in the vocabulary, which
-byte-level BPE vocabularies have by construction. 
+byte-level BPE vocabularies have by construction.
 
 Work per distinct segment (see ``ByteBPE.segments``), not per occurrence: a bounded memo in each worker
 keeps the ids.  Everything happens in one ``mapInArrow`` pass, without shuffle.
 
-Defined cases: a null text encodes as an empty one (no ids, empty bytes);
-repeated rows give the same answer each; other columns are ignored by the query
-and kept by the pipeline stage.
+Defined cases: a null text encodes as an empty one (no ids, empty bytes); a very long text, and a very long pre-token, is encoded
+whole; repeated rows, and those of a null doc_id, give an answer each; merges of equal rank don't exist; other columns are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

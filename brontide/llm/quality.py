@@ -10,9 +10,9 @@ Plan: one pass of Arrow batches computes the statistics, which are written to
 the shared folder (numbers only), one small aggregation gives the patterns, and
 the verdict joins the bounded pattern table back.  No text is shuffled.
 
-Defined cases: a null or empty text has no words, so it is base_failed; repeated
-rows get the same answer each; an empty table gives an empty result; other
-columns of the input are ignored.
+Defined cases: a null or empty text has no words, so it is base_failed; a very long text is one row, counted whole; repeated
+rows, and rows of a null doc_id, get an answer each; a posterior of exactly KEEP_AT keeps, and where all rules abstain it is
+PRIOR; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

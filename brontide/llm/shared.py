@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from brontide.ship import ship
+from brontide.sources import scratch
 
-_OWN: dict[str, str] = {}
 #: Arrow batches stay small where texts are long.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset (tests, local mode) a temporary folder."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if "dir" not in _OWN:
-        _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="brontide-")
-    return _OWN["dir"]
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, work is done once.
 
@@ -31,7 +20,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     cluster's shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -46,6 +35,7 @@ def forget(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. The package goes to the workers, and ARROW holds in the session from here on: batches are planned later."""
     ship(spark)
     for key, value in ARROW.items():
         spark.conf.set(key, value)

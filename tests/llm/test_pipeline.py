@@ -45,3 +45,38 @@ def test_stages_against_brute_force(spark, tmp_path):
     got = {r.doc_id: r.decoded_sha256 for r in docs.collect()}
     assert got == {r[0]: hashlib.sha256((r[1] or "").encode()).hexdigest() for r in now}
     assert {r.doc_id for r in pipeline.run(spark, path).collect()} == set(got)
+
+
+SCHEMA = "doc_id long, text string, toxicity string, shard string, component_id string, rest string"
+
+
+def stage(name):
+    return dict(pipeline.STAGES)[name]
+
+
+def test_null_and_repeated_ids_and_clashing_names(spark, tmp_path):
+    """A user's columns keep their values; of a doc_id's rows one stays; rows without id stay."""
+    path = str(tmp_path)
+    rows, labels = corpus(120)
+    copy = rows[1][1]
+    given = [(i, t) for i, t, *_ in rows] + [(1, copy), (1, copy), (7, "a text of its own for a repeated id"), (None, copy), (None, None), (500, copy), (501, "")]
+    docs = spark.createDataFrame([(i, t, "keep", "me", "too", "x") for i, t in given], SCHEMA)
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name in ("toxicity", "near_duplicates", "substring_dedup", "decontamination"):
+        docs = pipeline.materialize(stage(name)(spark, docs, path), name)
+        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+        assert {tuple(r)[2:] for r in docs.collect()} == {("keep", "me", "too", "x")}
+    found = docs.select("doc_id", "text").collect()
+    ids = [r.doc_id for r in found]
+    assert ids.count(1) == 1 and ids.count(7) == 1 and ids.count(None) == (1 if len(copy.split()) >= substring_dedup.WINDOW else 2) and 500 not in ids and 501 in ids
+    assert next(r.text for r in found if r.doc_id == 7) == min(rows[7][1], "a text of its own for a repeated id")
+
+
+def test_empty_tables(spark, tmp_path):
+    path = cases.write(spark, tmp_path, [])
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    assert pipeline.run(spark, path).collect() == []
