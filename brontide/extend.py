@@ -68,6 +68,13 @@ def squares(spark: SparkSession):
     return spark.read.format(Squares.name())
 
 
+def aggregate(df: DataFrame, keys: list[str], partial, merge, between: str, schema: str) -> DataFrame:
+    """A user's aggregate in two phases: ``partial`` of each Arrow batch as a pandas frame (columns ``between``, keys included), then
+    ``merge`` of a group's partial rows. Only partial rows are shuffled, so a hot group is a few rows a task."""
+    parts = df.mapInPandas(lambda frames: (partial(f) for f in frames), between)
+    return parts.groupBy(*keys).applyInPandas(merge, schema)
+
+
 def counters(df: DataFrame) -> list[tuple[str, dict[str, int]]]:
     """Runs ``df`` and returns (node, its counters) of the plan as executed, top down."""
     execution = df._jdf.queryExecution()

@@ -96,12 +96,14 @@ def _plus_one(t: Tables):
     return t.lines.select("line_no", plus_one("line_no").alias("p"))
 
 
-def _mean_udaf(t: Tables):
-    @F.pandas_udf("double")
-    def spread(x: pd.Series) -> float:
-        return float(x.max() - x.min())
+def _range_udaf(t: Tables):
+    def partial(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby("shelf", as_index=False).agg(low=("order_no", "min"), high=("order_no", "max"))
 
-    return t.lines.groupBy("shelf").agg(spread("order_no").alias("s"))
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shelf": parts["shelf"].iloc[:1], "s": [float(parts["high"].max() - parts["low"].min())]})
+
+    return extend.aggregate(t.lines.select("shelf", "order_no"), ["shelf"], partial, merge, "shelf smallint, low int, high int", "shelf smallint, s double")
 
 
 def _pairs_udtf(t: Tables):
@@ -115,7 +117,7 @@ def _pairs_udtf(t: Tables):
 
 
 add("G01_vectorised_function", "SELECT line_no, line_no + 1 AS p FROM lines", _plus_one)
-add("G06_aggregate_function", "SELECT shelf, (max(order_no) - min(order_no))::DOUBLE AS s FROM lines GROUP BY 1", _mean_udaf)
+add("G06_aggregate_function", "SELECT shelf, (max(order_no) - min(order_no))::DOUBLE AS s FROM lines GROUP BY 1", _range_udaf)
 add("G02_plan_node", "SELECT maker, line_no FROM (SELECT maker, line_no, row_number() OVER (PARTITION BY maker ORDER BY price DESC, line_no) AS place FROM lines) WHERE place <= 3", lambda t: extend.apply(t.lines.select("maker", "line_no", "price"), "top_of_each", keys=["maker"], order=[F.desc("price"), F.asc("line_no")], n=3).select("maker", "line_no"))
 add("G03_named_source", "SELECT g AS k, g * g AS square FROM range(0, 1000) AS x(g)", lambda t: extend.squares(t.spark).option("rows", "1000").load())
 add("G09_counters", "SELECT count(*) FILTER (WHERE bulky) AS kept, count(*) FILTER (WHERE NOT bulky) AS removed FROM lines", lambda t: extend.filter_counters(t.lines, "coalesce(bulky, false)"))
