@@ -70,11 +70,22 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, rows
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(mul: int, n: int) -> np.ndarray:
+    """The first n powers; a worker keeps those up to PIECE_BYTES."""
+    known = _POWERS.get(mul, ())
+    if n <= len(known):
+        return known[:n]
     out = np.full(n, mul, dtype=U64)
     if n:
         out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if n <= PIECE_BYTES + 1:
+        out.flags.writeable = False
+        _POWERS[mul] = out
+    return out
 
 
 def inverse(mul: int) -> int:

@@ -50,7 +50,7 @@ NO_ID = -(1 << 63)
 SHARD_BYTES = 8 << 20
 #: Words kept in a worker before it starts anew, and bytes of text cut into words together.
 MEMO = 3_000_000
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: The byte-level pattern, for words whose characters are in long-settled blocks: below this.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 FIRST_WHOLE = "\u0250"
@@ -247,7 +247,9 @@ class Encoder:
 
     def _learn(self, at: np.ndarray, keys: np.ndarray, checks: np.ndarray, words: list[str], leads: list[int]) -> None:
         """Put new words into the memo; ``at`` are their sorted places."""
-        found = [self.word_ids(w, lead) for w, lead in zip(words, leads, strict=True)]
+        model, space = self.model.tokenize, self.space
+        # Most new words are plain letters after a space.
+        found = [[t.id for t in model(space + w)] if lead == SPACE and w.isascii() and w.isalpha() else self.word_ids(w, lead) for w, lead in zip(words, leads, strict=True)]
         sizes = np.array([-1 if f is None else len(f) for f in found], np.int64)
         flat = np.array([i for f in found if f is not None for i in f], np.uint32)
         ends = np.cumsum(np.maximum(sizes, 0))
