@@ -132,19 +132,20 @@ def answers_of(table: pa.Table, kind: int) -> np.ndarray:
     return np.concatenate([unpack(r["data"], r["n"]) for r in rows]) if rows else np.zeros(0, U64)
 
 
-#: What a range tells about a key: the sum of what was sent, whether that sum is 2 or more, or the least sent.
-SUM, TWICE, LEAST_SENT = "sum", "twice", "least"
+#: What a range tells about a key: the sum of what was sent, the least sent, or (a tuple) how many of these levels the sum reaches.
+SUM, LEAST_SENT = "sum", "least"
+Rule = str | tuple[int, ...]
 
 
-def ask(requests_df: DataFrame, rules: dict[int, str], n: int, facts=None, bits: dict[int, int] | None = None) -> DataFrame:
-    """Answers for the ``n`` shards that made REQUEST rows; ``rules`` has SUM, TWICE or LEAST_SENT for each kind.
+def ask(requests_df: DataFrame, rules: dict[int, Rule], n: int, facts=None, bits: dict[int, int] | None = None) -> DataFrame:
+    """Answers for the ``n`` shards that made REQUEST rows; ``rules`` tells what to answer for each kind.
 
     ``facts(kind, parts)`` may return numbers about a range's distinct keys; they come as rows of shard -1.
     """
     return _ask(requests_df, rules, n, 1, facts, bits or {}, FAN)
 
 
-def _ask(df: DataFrame, rules: dict[int, str], senders: int, cells: int, facts, bits: dict[int, int], fan: int) -> DataFrame:
+def _ask(df: DataFrame, rules: dict[int, Rule], senders: int, cells: int, facts, bits: dict[int, int], fan: int) -> DataFrame:
     """The key space has so many cells; each hears so many senders, whose number in the cell is ``shard`` modulo that."""
     if senders <= fan:
         return df.groupBy("rng").applyInArrow(_answerer(rules, facts), ANSWER)
@@ -166,15 +167,15 @@ def _parts(table: pa.Table):
         yield kind, rs, [(unpack_sorted(r["keys"], r["n"]), unpack(r["more"], r["n"]) if r["more"] is not None else None, unpack(r["extra"], r["n"]) if r["extra"] is not None else None) for r in rs]
 
 
-def _answerer(rules: dict[int, str], facts):
+def _answerer(rules: dict[int, Rule], facts):
     def run(table: pa.Table) -> pa.Table:
         rows = []
         for kind, rs, given in _parts(table):
             if facts:
                 rows.append((kind, rs[0]["rng"], -1, 0, np.array(facts(kind, given), "<i8").tobytes()))
             _, _, value, at = merged(given, rules[kind])
-            if rules[kind] == TWICE:
-                value = (value >= U64(2)).astype(U64)
+            if isinstance(rules[kind], tuple):
+                value = np.searchsorted(np.array(rules[kind], U64), value, "right").astype(U64)
             for r, found in zip(rs, parted(value[at], given), strict=True):
                 rows.append((kind, r["rng"], r["shard"], r["n"], pack(found)))
         return to_table(rows, ANSWER_ARROW)
@@ -182,7 +183,7 @@ def _answerer(rules: dict[int, str], facts):
     return run
 
 
-def _relay(rules: dict[int, str], n_ranges: int, bits: dict[int, int]):
+def _relay(rules: dict[int, Rule], n_ranges: int, bits: dict[int, int]):
     def run(table: pa.Table) -> pa.Table:
         node, rows = table["node"][0].as_py(), []
         for kind, _, given in _parts(table):
@@ -193,7 +194,7 @@ def _relay(rules: dict[int, str], n_ranges: int, bits: dict[int, int]):
     return run
 
 
-def _expander(rules: dict[int, str]):
+def _expander(rules: dict[int, Rule]):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         for kind, rs, given in _parts(table):
@@ -209,7 +210,7 @@ def parted(values: np.ndarray, given: list[tuple]) -> list[np.ndarray]:
     return np.split(values, np.cumsum([len(k) for k, _, _ in given])[:-1])
 
 
-def merged(given: list[tuple], rule: str) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+def merged(given: list[tuple], rule: Rule) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
     """(distinct keys, their extras, sum or least of ``more``, the distinct key of each given one), in order of (key, extra)."""
     keys = np.concatenate([k for k, _, _ in given])
     more = np.concatenate([m for _, m, _ in given])

@@ -9,14 +9,15 @@ k elements of the symmetric difference for their band.  The feature domain is cu
 into n1 first-level partitions, more than the k differences can spoil, and each
 into N2 second-level ones; a signature is a set's projection on K_KEPT of the N2.  If at
 most N2 - K_KEPT differences fall into a first-level partition, some signature is shared.
-A projection without elements says nothing, so it is not emitted; n1 has SLACK
-partitions over, and a set with more empty ones than that also emits
-the elements of its prefix (its first n - ceil(0.75 n) + 1 elements in hash order).  Linked sets of
-which one is not so deficient share a PartEnum signature; two deficient ones share a prefix
-element.  So no link is lost.
+A projection without elements says nothing, and one of hot shingles only (those that HOT texts or more have, by a
+merged count-min row) would bring all texts with a common passage together, so neither is emitted; n1 has slack
+partitions over, and a set with more such ones than that also emits
+the elements of its prefix (its first n - ceil(0.75 n) + 1 elements, hot ones last, then in hash order).  Linked sets of
+which one is not so deficient share a PartEnum signature, as equal projections are hot or empty alike; two deficient ones share a prefix
+element.  So no link is lost, and a bucket of HOT documents or more is one of sets that are hot in over 75 % of their elements.
 
 Before that, a set that links with another has at least 75 % of its shingles in it, so sets
-with fewer shingles that a merged count-min row estimates to occur twice are out; the
+with fewer shingles that the same row estimates to occur twice are out; the
 estimate is never too low.
 
 Links are verified exactly, never by all pairs of a group.  The least document of each
@@ -58,6 +59,8 @@ NUM, DEN = 75, 100
 N2, K_KEPT = 3, 2
 SPREAD, WORD_BYTES = 16, 6
 CLASS, SKETCH = 0, 1
+#: Texts that make a shingle hot.
+HOT = 1024
 #: From here on ids stand for classes of null doc_ids.
 NULL_IDS = (1 << 63) - (1 << 48)
 #: Documents of a pivot, and outsiders, that meet in one block.
@@ -144,9 +147,9 @@ def may_link(na, nb, differing):
     return (NUM * np.maximum(na, nb) <= DEN * np.minimum(na, nb)) & ((DEN + NUM) * differing <= (DEN - NUM) * (na + nb))
 
 
-#: A document with its class; ``shingles`` (packed) and ``parity`` only of representatives that may link.
-SETS = "shard int, doc_id long, n_shingles long, rep long, shingles binary, parity binary"
-SETS_ARROW = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("rep", pa.int64()), ("shingles", pa.binary()), ("parity", pa.binary())])
+#: A document with its class; ``shingles`` (packed), ``hot`` (a bit for each) and ``parity`` only of representatives that may link.
+SETS = "shard int, doc_id long, n_shingles long, rep long, shingles binary, hot binary, parity binary"
+SETS_ARROW = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("rep", pa.int64()), ("shingles", pa.binary()), ("hot", pa.binary()), ("parity", pa.binary())])
 
 
 def _receive(bits: int):
@@ -162,14 +165,15 @@ def _receive(bits: int):
             least = X.answers_of(answers, CLASS)[np.cumsum(new) - 1]
             rep[order] = (least ^ T.U64(1 << 63)).view(np.int64)
         _, at = np.unique(found >> T.U64(64 - bits), return_inverse=True)
-        twice = np.concatenate([[0], np.cumsum(X.answers_of(answers, SKETCH)[at] > 0)])
+        level = X.answers_of(answers, SKETCH)[at]
+        twice = np.concatenate([[0], np.cumsum(level > 0)])
         shared = twice[bounds[1:]] - twice[bounds[:-1]]
         able = np.zeros(len(ids), bool)
         able[order[new]] = True  # a class once a shard
         able &= (rep == ids) & (DEN * shared >= NUM * sizes)
-        sets = [found[bounds[i] : bounds[i + 1]] if able[i] else None for i in range(t.num_rows)]
-        packed, parities = ([None if x is None else f(x) for x in sets] for f in (X.pack_sorted, parity))
-        return pa.table([t["shard"], t["doc_id"], pa.array(sizes), pa.array(rep), pa.array(packed, pa.binary()), pa.array(parities, pa.binary())], schema=SETS_ARROW)
+        each = lambda values, f: pa.array([f(values[bounds[i] : bounds[i + 1]]) if able[i] else None for i in range(t.num_rows)], pa.binary())
+        hot = each(level > 1, lambda x: np.packbits(x).tobytes())
+        return pa.table([t["shard"], t["doc_id"], pa.array(sizes), pa.array(rep), each(found, X.pack_sorted), hot, each(found, parity)], schema=SETS_ARROW)
 
     return run
 
@@ -195,8 +199,8 @@ def band_plan(band: int) -> tuple[int, int, int]:
     return k, good + slack, slack
 
 
-def signatures(found: np.ndarray) -> np.ndarray:
-    """Signatures of one set (sorted hashes), for its band and the next one."""
+def signatures(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Signatures of one set (sorted hashes, and which are hot), for its band and the next one."""
     out = []
     size = len(found)
     for band in (band_of(size), band_of(size) + 1):
@@ -208,16 +212,16 @@ def signatures(found: np.ndarray) -> np.ndarray:
         # A projection's hash is the sum of its elements' hashes, mixed with its place.
         sums = np.zeros(n1 * N2, T.U64)
         np.add.at(sums, cell, T.mix(found + T.U64(0x9E3779B97F4A7C15)))
-        counts = np.bincount(cell, minlength=n1 * N2).reshape(n1, N2)
+        cold = np.bincount(cell[~hot], minlength=n1 * N2).reshape(n1, N2)
         sums = sums.reshape(n1, N2)
         for out_of in range(N2):  # K_KEPT = N2 - 1: leave one out
             keep = [j for j in range(N2) if j != out_of]
-            n, h = counts[:, keep].sum(axis=1), sums[:, keep].sum(axis=1)
-            at = np.flatnonzero(n)
+            h = sums[:, keep].sum(axis=1)
+            at = np.flatnonzero(cold[:, keep].sum(axis=1))
             out.append(T.mix(h[at] ^ T.mix((at * N2 + out_of + (band << 40)).astype(T.U64))))
-        empty = (counts.sum(axis=1)[:, None] - counts == 0).any(axis=1).sum()
-        if empty > slack:
-            prefix = found[: size - -(-NUM * size // DEN) + 1]
+        unused = (cold.sum(axis=1)[:, None] - cold == 0).any(axis=1).sum()
+        if unused > slack:
+            prefix = np.concatenate([found[~hot], found[hot]])[: size - -(-NUM * size // DEN) + 1]
             out.append(T.mix(prefix ^ T.mix(np.array([(1 << 50) + band], T.U64))))
     return np.unique(np.concatenate(out))
 
@@ -225,8 +229,8 @@ def signatures(found: np.ndarray) -> np.ndarray:
 def _shard_signatures(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(signature, doc_id) of all sets of a shard, sorted."""
     docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, T.U64)]
-    for doc, size, data in zip(t["doc_id"].to_pylist(), t["n_shingles"].to_pylist(), t["shingles"], strict=True):
-        keys.append(signatures(X.unpack_sorted(data.as_py(), size)))
+    for doc, size, data, hot in zip(t["doc_id"].to_pylist(), t["n_shingles"].to_pylist(), t["shingles"], t["hot"], strict=True):
+        keys.append(signatures(X.unpack_sorted(data.as_py(), size), np.unpackbits(np.frombuffer(hot.as_py(), np.uint8), count=size).astype(bool)))
         docs.append(np.full(len(keys[-1]), doc))
     keys, docs = np.concatenate(keys), np.concatenate(docs)
     order = np.lexsort((docs, keys))
@@ -363,7 +367,7 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def linked(sets: DataFrame, n_shards: int) -> DataFrame:
     """(doc, comp) of the representatives with shingles, by PartEnum and verification."""
     labels = sets.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("comp")).distinct()
-    by_shard = sets.select("shard", "doc_id", "n_shingles", "shingles").groupBy("shard")
+    by_shard = sets.select("shard", "doc_id", "n_shingles", "shingles", "hot").groupBy("shard")
     least = X.ask(by_shard.applyInArrow(_send_signatures(X.ranges(n_shards)), X.REQUEST), {CLASS: X.LEAST_SENT}, n_shards)
     pairs = by_shard.cogroup(least.groupBy("shard")).applyInArrow(_pivots, "a long, b long")
     star = materialize(bounded(pairs, sets), "pivot-pairs")
@@ -405,9 +409,9 @@ def joined(docs: DataFrame) -> DataFrame:
     n_bytes = X.text_bytes(docs)
     n, bits = X.shard_count(n_bytes), sketch_bits(n_bytes)
     by_shard = X.sharded(docs, n).groupBy("shard")
-    answers = X.ask(by_shard.applyInArrow(_send(X.ranges(n), bits), X.REQUEST), {CLASS: X.LEAST_SENT, SKETCH: X.TWICE}, n, bits={SKETCH: bits})
+    answers = X.ask(by_shard.applyInArrow(_send(X.ranges(n), bits), X.REQUEST), {CLASS: X.LEAST_SENT, SKETCH: (2, HOT)}, n, bits={SKETCH: bits})
     found = materialize(by_shard.cogroup(answers.groupBy("shard")).applyInArrow(_receive(bits), SETS), "shingle-sets")
-    sets = found.where("shingles IS NOT NULL").select("shard", F.col("rep").alias("doc_id"), "n_shingles", "shingles", "parity")
+    sets = found.where("shingles IS NOT NULL").select("shard", F.col("rep").alias("doc_id"), "n_shingles", "shingles", "hot", "parity")
     labels = linked(sets, n)
     out = found.select("doc_id", "n_shingles", "rep").join(labels.toDF("rep", "component_id"), "rep", "left")
     component = F.coalesce("component_id", "rep")

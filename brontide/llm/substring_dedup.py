@@ -91,7 +91,7 @@ def _send_sketch(n_ranges: int, bits: int, size: int):
     return run
 
 
-RULES = {**dict.fromkeys(range(ROWS), X.TWICE), EXACT: X.LEAST_SENT}
+RULES = {**dict.fromkeys(range(ROWS), (2,)), EXACT: X.LEAST_SENT}
 
 
 def _send_suspects(n_ranges: int, bits: int, size: int):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from brontide.llm import jaccard_join as J
+from brontide.llm import textops as T
 
 from tests.llm import cases
 
@@ -54,6 +55,7 @@ def near_copies(seed=2, groups=7, n=130):
 @pytest.mark.parametrize("rows", [cases.documents(), near_copies()], ids=["odd", "near"])
 def test_query_against_brute_force(spark, tmp_path, rows, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 3)
+    monkeypatch.setattr(J, "HOT", 9)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.op8_jaccard_join(spark, cases.write(spark, tmp_path, rows)).collect()}
     want = expected(rows)
     assert got == want
@@ -61,6 +63,7 @@ def test_query_against_brute_force(spark, tmp_path, rows, monkeypatch):
 
 
 def test_signatures_lose_no_link():
+    """Whichever shingles are hot, for all sets alike."""
     rng = np.random.default_rng(4)
     for trial in range(1500):
         n = int(rng.integers(1, 300)) if trial % 2 else int(rng.integers(1, 12))
@@ -69,7 +72,21 @@ def test_signatures_lose_no_link():
         b = np.unique(np.concatenate([b, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) // 7 + 1)), dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 75 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(J.signatures(a), J.signatures(b)))
+            share = np.uint64(rng.choice([0, 10, 50, 90, 100]))
+            hot = lambda x: T.mix(x) % np.uint64(100) < share  # noqa: B023, E731
+            assert len(np.intersect1d(J.signatures(a, hot(a)), J.signatures(b, hot(b))))
+
+
+def test_a_hot_passage_makes_no_hot_bucket():
+    rng = np.random.default_rng(5)
+    passage = np.unique(rng.integers(0, 1 << 63, 46, dtype=np.uint64))
+    seen = {False: {}, True: {}}
+    for _ in range(400):
+        x = np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, 120, dtype=np.uint64)]))
+        for known in seen:
+            for k in J.signatures(x, np.isin(x, passage) & known).tolist():
+                seen[known][k] = seen[known].get(k, 0) + 1
+    assert max(seen[False].values()) > 5 and max(seen[True].values()) == 1
 
 
 def test_bands():
