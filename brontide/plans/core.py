@@ -26,7 +26,7 @@ add("S08_parallel_scan", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP
 add("S09_subquery_rows", "SELECT v * 2 AS v FROM (VALUES (1), (2), (3)) AS x(v)", lambda t: t.spark.sql("SELECT v * 2 AS v FROM VALUES (1), (2), (3) AS x(v)"))
 add("S10_rows_out", "SELECT r_regionkey, r_name FROM region", lambda t: t.region.select("r_regionkey", "r_name"))
 add("S11_append", "SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier", lambda t: sources.append(t.customer.selectExpr("c_custkey AS k", "c_name AS name"), t.supplier.selectExpr("s_name AS name", "s_suppkey AS k")))
-add("S12_named_source", "SELECT n_name FROM nation", lambda t: sources.load(t.spark, t.dir, "nation").select("n_name"))
+add("S12_named_source", "SELECT n_name FROM nation", lambda t: sources.named(t.spark, "parquet folder", folder=t.dir, table="nation").select("n_name"))
 add("S13_from_arrow", "SELECT * FROM (VALUES (1, 'a'), (2, NULL), (NULL, 'c')) AS x(k, s)", lambda t: sources.from_arrow(t.spark, __import__("pyarrow").table({"k": __import__("pyarrow").array([1, 2, None], "int32"), "s": ["a", None, "c"]})))
 add("S15_bounds", "SELECT count(*) AS n FROM orders WHERE o_totalprice > 1000.5 AND o_orderdate < TIMESTAMP '1995-01-01'", lambda t: t.orders.where("o_totalprice > 1000.5 AND o_orderdate < TIMESTAMP_NTZ '1995-01-01'").agg(F.count("*").alias("n")))
 add("S16_sample", "SELECT true AS within, true AS part_of", lambda t: t.sql("SELECT (SELECT count(*) FROM {lineitem} TABLESAMPLE (30 PERCENT) REPEATABLE (5)) BETWEEN 0.27 * count(*) AND 0.33 * count(*) AS within, (SELECT count(*) FROM {lineitem} TABLESAMPLE (30 PERCENT) REPEATABLE (5) s LEFT ANTI JOIN {lineitem} l ON s.l_orderkey = l.l_orderkey AND s.l_linenumber = l.l_linenumber) = 0 AS part_of FROM {lineitem}"))

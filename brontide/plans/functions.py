@@ -83,7 +83,7 @@ conditions("R09_text_order", "part_label > 'N'", "part_label < 'AF/part 3'", "ma
 values("R10_text", same("a", "replace(part_label, 'part', 'no.')"), same("b", "reverse(part_label)"), same("c", "repeat(maker, 2)"), same("e", "split_part(part_label, ' ', 2)"), same("g", "lpad(maker, 5, '0')"), ("h", "regexp_replace(part_label, '[0-9]+', '#')", "regexp_replace(part_label, '[0-9]+', '#', 'g')"), ("k", "regexp_extract(part_label, '([0-9])$', 1)", "regexp_extract(part_label, '([0-9])$', 1)"))
 values("R11_arrays", ("a", "cast(size(split(part_label, ' ')) AS bigint)", "len(string_split(part_label, ' '))"), ("b", "cast(cardinality(sequence(1, shelf + 1)) AS bigint)", "(shelf + 1)::BIGINT"))
 values("R12_xor", ("a", "order_no ^ 5", "xor(order_no, 5)"), ("b", "order_no & 12", "order_no & 12"), ("e", "order_no | 3", "order_no | 3"))
-values("R13_constructors", ("a", "make_timestamp_ntz(2020, 2, cast(shelf % 28 + 1 AS int), 3, 4, 5)", "make_timestamp(2020, 2, shelf % 28 + 1, 3, 4, 5)"), ("b", "current_date() IS NOT NULL", "current_date IS NOT NULL"))
+values("R13_constructors", ("a", "make_timestamp_ntz(2020, 2, cast(shelf % 28 + 1 AS int), 3, 4, 5)", "make_timestamp(2020, 2, shelf % 28 + 1, 3, 4, 5)"), ("b", "current_date() > DATE '2020-01-01'", "current_date > DATE '2020-01-01'"), ("z", "cast(make_timestamp_ltz(2021, 7, cast(shelf % 28 + 1 AS int), 3, 4, 5.5, 'America/New_York') AS timestamp_ntz)", "make_timestamp(2021, 7, shelf % 28 + 1, 7, 4, 5.5)"), ("n", "now() > TIMESTAMP '2020-01-01 00:00:00'", "now()::TIMESTAMP > TIMESTAMP '2020-01-01 00:00:00'"))
 values("R14_numeric", ("a", "round(cast(money AS double) / 7, 6)", "round(money::DOUBLE / 7, 6)"), ("b", "round(sqrt(price), 6)", "round(sqrt(price), 6)"), same("e", "abs(-price)"))
 add("R15_json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events", lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").alias("k")))
 

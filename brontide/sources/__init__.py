@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,23 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_NAMED: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register(name: str, read: Callable[..., DataFrame]) -> None:
+    """A source by name: ``read(spark, **options)`` gives its rows."""
+    _NAMED[name] = read
+
+
+def named(spark: SparkSession, name: str, **options) -> DataFrame:
+    if name not in _NAMED:
+        raise KeyError(f"no source {name}; known: {sorted(_NAMED)}")
+    return _NAMED[name](spark, **options)
+
+
+register("parquet folder", lambda spark, folder, table: load(spark, folder, table))
+
+
 def sql(spark: SparkSession, sf_dir: str, text: str, parameters: dict | None = None) -> DataFrame:
     """A query over the tables of a folder, with named parameters (``:name``); ``{table}`` names a table."""
     frames = {t: load(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}

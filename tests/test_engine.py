@@ -134,6 +134,13 @@ def test_an_unsorted_result_fails_where_the_oracle_is_ordered(spark):
     assert compare(spark.range(50).toDF("k"), duck, sql.partition(" ORDER")[0]) == ""
 
 
+def test_named_sources(spark):
+    sources.register("twice", lambda spark, n: spark.range(n).unionAll(spark.range(n)))
+    assert sources.named(spark, "twice", n=3).count() == 6
+    with pytest.raises(KeyError, match="parquet folder"):
+        sources.named(spark, "no such source")
+
+
 def test_extension_surface(spark, sf_dir):
     from brontide import extend
 
