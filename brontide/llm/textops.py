@@ -133,15 +133,35 @@ def window_starts(bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return bounds[rows] + at, rows
 
 
+def cuts(part: np.ndarray, limit: int) -> list[int]:
+    """Places that cut a text into runs of whole words of about ``limit`` bytes; a longer word stays whole."""
+    out, at = [0], limit
+    while at < len(part):
+        space = np.flatnonzero(SPACE[part[at : at + limit]])
+        if len(space):
+            out.append(at + int(space[0]))
+        at = (out[-1] if len(space) else at) + limit
+    return [*out, len(part)]
+
+
 def hashed_words(raw: np.ndarray, offsets: np.ndarray, n_hashes: int = 1, lower: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
-    """(``n_hashes`` hashes of every word, offsets of each row's words) of a whole batch, piece by piece."""
+    """(``n_hashes`` hashes of every word, offsets of each row's words) of a whole batch, piece by piece, and a very long text run by run."""
     found: list[list[np.ndarray]] = [[np.zeros(0, U64)] for _ in range(n_hashes)]
     counts = [np.zeros(1, np.int64)]
-    for a, b in pieces(offsets):
-        part, inner = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+    def add(part: np.ndarray, inner: np.ndarray) -> np.ndarray:
         starts, ends, rows = word_spans(part, inner)
-        counts.append(np.bincount(rows, minlength=b - a))
         text = LOWER[part] if lower else part
         for i in range(n_hashes):
             found[i].append(word_hashes(text, starts, ends, i))
+        return np.bincount(rows, minlength=len(inner) - 1)
+
+    for a, b in pieces(offsets):
+        part, inner = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        if b - a == 1 and len(part) > PIECE_BYTES:
+            at = cuts(part, PIECE_BYTES)
+            runs = [part[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+            counts.append(sum(add(run, np.array([0, len(run)])) for run in runs))
+        else:
+            counts.append(add(part, inner))
     return [np.concatenate(f) for f in found], np.cumsum(np.concatenate(counts))

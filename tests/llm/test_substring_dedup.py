@@ -50,3 +50,20 @@ def test_ties_nulls_and_empty(spark):
     got = sorted((str(r.doc_id), r.n_removed) for r in S.deduplicate(frame).collect())
     assert got == [("5", 0), ("5", 0), ("7", 60), ("None", 60)]
     assert S.deduplicate(frame.limit(0)).collect() == []
+
+
+def test_a_long_text_is_hashed_run_by_run(monkeypatch):
+    import numpy as np
+
+    from brontide.llm import textops as T
+
+    texts = [r[1] or "" for r in cases.documents()] + ["x" * 300 + " y", " " * 200 + "z", "a\tb " * 90]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    want = T.hashed_words(raw, offsets, 2, lower=True)
+    for limit in (7, 64, 1000):
+        monkeypatch.setattr(T, "PIECE_BYTES", limit)
+        monkeypatch.setattr(T, "pieces", lambda o: ((i, i + 1) for i in range(len(o) - 1)))
+        got = T.hashed_words(raw, offsets, 2, lower=True)
+        assert (got[1] == want[1]).all() and all((g == w).all() for g, w in zip(got[0], want[0], strict=True))
+    assert np.diff(want[1]).tolist() == [len(cases.words(t)) for t in texts]
