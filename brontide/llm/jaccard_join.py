@@ -64,7 +64,7 @@ HOT = 1024
 #: From here on ids stand for classes of null doc_ids.
 NULL_IDS = (1 << 63) - (1 << 48)
 #: Documents of a pivot, and outsiders, that meet in one block.
-BLOCK = 512
+BLOCK = 256
 #: A pivot's documents are dealt over so many tasks.
 SALT = 32
 
