@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brontide.llm import textops as T
-from brontide.llm.shared import forget, materialize, table
+from brontide.llm.shared import forget, give_back, materialize, table
 
 #: Most labelled documents that are learned from, whole texts each, and most bytes of their bags.
 TRAIN_DOCS, TRAIN_BYTES = 4_000, 192 << 20
@@ -157,7 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, bool]:
     bags = [(np.frombuffer(b, "<i4"), np.frombuffer(w, np.float32)) for _, _, b, w in given]
     y = [toxic for _, toxic, _, _ in given]
     forget(rows)
-    return (*train(bags, y), len(set(y)) > 1)
+    model, bias = train(bags, y)
+    del given, bags
+    give_back()
+    return model, bias, len(set(y)) > 1
 
 
 def score(docs: DataFrame, model: np.ndarray, bias: float, fitted: bool = True, name: str = "toxicity") -> DataFrame:
