@@ -43,14 +43,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     doc_id can't be told from each other and stay.
     """
     table(spark, sf_dir, "documents")
-    verdict = jaccard_join.joined(docs)
-    gone = verdict.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    verdict = jaccard_join.joined(docs).where("doc_id IS NOT NULL")
+    # Ids alone, written before any text is read again: only one join passes whole texts, and nothing of the search runs beside it.
+    marks = verdict.groupBy("doc_id").agg(F.bool_or(F.expr("component_id <> doc_id")).alias("gone"), F.count("*").alias("n"))
+    marks = materialize(marks.where("gone OR n > 1").select("doc_id", "gone"), "marks")
+    kept = docs.join(marks.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = marks.where("NOT gone").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    again = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     least = again.groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text")).alias("row")).select("row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionAll(least)
+    return kept.unionAll(least)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

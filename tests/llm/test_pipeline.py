@@ -1,6 +1,11 @@
 import hashlib
+import os
+import re
+import subprocess
+import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from brontide.llm import decontaminate, substring_dedup, toxicity
 
@@ -80,3 +85,33 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     assert pipeline.run(spark, path).collect() == []
+
+
+def test_near_duplicates_join_texts_once(spark, tmp_path):
+    """Ids are known before texts are read again: the result scans the texts once, beside no step of the search."""
+    path = cases.write(spark, tmp_path, near_copies(n=60))
+    kept = stage("near_duplicates")(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan
+    assert len(re.findall(r"FileScan parquet \[[^\]]*text#", plan)) == 1
+
+
+READ = """
+import sys
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from brontide.llm.shared import table
+
+spark = SparkSession.builder.master("local[4]").config("spark.driver.memory", "512m").config("spark.ui.enabled", "false").getOrCreate()
+print("READ", table(spark, sys.argv[1], "documents").agg(F.sum(F.length("text").cast("long")), F.count(F.xxhash64("text"))).first()[1])
+"""
+
+
+def test_long_texts_are_read_in_a_small_heap(spark, tmp_path):
+    """Four tasks read texts of 16 kB; batches of 4096 rows are arrays of over 64 MB each, more than the heap."""
+    docs = spark.range(0, 16384, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.expr("repeat(' word', 3200)")).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK", "SPARK"))} | {"PYTHONPATH": root}
+    out = subprocess.run([sys.executable, "-c", READ, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
+    assert "READ 16384" in out.stdout, out.stderr[-2000:]
