@@ -12,10 +12,11 @@ A file is the ``data`` value of one Parquet row, for any store that Spark writes
 
 Documents are range-partitioned by doc_id (and, among equal ones, by a hash of the text, so a hot id is split) into shards of bounded size; ids are made
 by the tokenizers library.  A pre-token of the byte-level pattern never reaches over a single space or line end between two words,
-so a text whose words are parted by such only is the sequence of its words, each with the space or line end before it; each distinct
-word is encoded once a worker (until the worker's memo is full), by the library's model if all its characters are below FIRST_WHOLE and by
-the whole library else.  Other texts, and those with an added token of the vocabulary, are encoded whole.  Words are told apart by
-64 bits of hash within a batch and 96 bits between batches.
+so a text whose words are parted by such only is the sequence of its words, each with the space or line end before it.  Nor does a pre-token
+reach from a letter, digit or mark of ASCII (or a letter of LETTER_LEADS) to one of another kind, except from an apostrophe to a letter, so words are
+cut there into segments, and a word shares its ids with the same word before a comma.  Each distinct segment is encoded once a worker (until the
+worker's memo is full), by the library's model if all its characters are below FIRST_WHOLE and by the whole library else.  Other texts, and
+those with an added token of the vocabulary, are encoded whole.  Segments are told apart by 96 bits of hash.
 
 Defined cases: a null text is an empty one and has the end id alone; a null doc_id comes before all others; repeated
 documents are stored each, rows of equal doc_id in order of their texts' hashes, then texts, so equal runs give equal files up to copies; a very long text is
@@ -48,16 +49,24 @@ CODEC = pa.Codec("zstd", compression_level=1)
 NO_ID = -(1 << 63)
 #: Bytes of text of a shard: with about 3 bytes a token, some 3 million tokens.
 SHARD_BYTES = 8 << 20
-#: Words kept in a worker before it starts anew, and bytes of text cut into words together.
+#: Segments kept in a worker (and an eighth of their ids) before it starts anew, and bytes of text cut into segments together.
 MEMO = 3_000_000
 PIECE_BYTES = 1 << 20
 #: The byte-level pattern, for words whose characters are in long-settled blocks: below this.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 FIRST_WHOLE = "\u0250"
-#: Marks that end words most.
-MARKS = ".,;:!?"
-#: What stands before a word: the text's start, a space, a line end.
+#: First bytes of the two-byte characters U+00C0 to U+017F and U+0400 to U+047F: letters all, but two marks.
+LETTER_LEADS = b"\xc3\xc4\xc5\xd0\xd1"
+#: Kinds of bytes: of a letter, a mark or a digit that is sure to be one, or any other (0).
+LETTER, MARK, DIGIT = 1, 2, 3
+KINDS = np.array([(LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else MARK) if 0x20 < c < 0x7F else 0 for c in range(256)], np.uint8)
+LEADS = np.isin(np.arange(256), list(LETTER_LEADS))
+#: What stands before a segment: nothing (the text's start or another segment), a space, a line end.
 START, SPACE, LINE = 0, 1, 2
+LEAD_MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Least slots of the memo's table, a power of two, and the share of them in use at which it is doubled: MEMO and a batch fit 1 << 22.
+LEAST_SLOTS = 1 << 16
+FULL = 0.8
 #: Partitions whose files' starts are summed in one window.
 STARTS = 4096
 
@@ -73,18 +82,26 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     now = np.asarray(ids).astype(kind)
     out, zeros, directory = [], [], []
     size = BLOCK_BITS
+    high = np.empty(len(now), kind)
     for level in range(planes - 1, -1, -1):
-        bits = (now & kind(1 << level)) != 0
-        ones, blocks = 0, []
-        for a in range(0, len(bits), size):
-            part = bits[a : a + size]
-            data = CODEC.compress(np.packbits(part).tobytes(), asbytes=True)
+        ones, blocks, low = 0, [], np.empty(len(now), kind)
+        # Parted block by block, by places: a mask of random bits costs nearly three times as much.
+        for a in range(0, len(now), size):
+            part = now[a : a + size]
+            bits = (part & kind(1 << level)) != 0
+            data = CODEC.compress(np.packbits(bits).tobytes(), asbytes=True)
             blocks.append((ones, len(data)))
             out.append(data)
-            ones += int(part.sum())
+            up = int(np.count_nonzero(bits))
+            if level:  # nothing comes after the lowest plane
+                high[ones : ones + up] = part[np.flatnonzero(bits)]
+                low[a - ones : a - ones + len(part) - up] = part[np.flatnonzero(~bits)]
+            ones += up
         directory.append(blocks)
-        zeros.append(len(bits) - ones)
-        now = np.concatenate([now[~bits], now[bits]])
+        zeros.append(len(now) - ones)
+        if level:
+            low[len(now) - ones :] = high[:ones]
+            now = low
     docs = zlib.compress(np.asarray(doc_ids, "<i8").tobytes() + np.asarray(lengths, "<u4").tobytes(), 6)
     head = MAGIC + struct.pack("<QIQQ", len(ids), planes, len(doc_ids), len(docs)) + docs + np.array(zeros, "<u8").tobytes()
     head += np.array([x for blocks in directory for x in blocks], "<u8").tobytes()
@@ -172,11 +189,18 @@ class WaveletMatrix:
         kind = np.uint16 if self.planes <= 16 else np.uint32
         now = np.zeros(self.n, kind)
         for plane in range(self.planes - 1, -1, -1):
-            bits = np.concatenate([self._block(plane, b) for b in range(self.blocks)]).astype(bool) if self.blocks else np.zeros(0, bool)
-            z = int(self.zeros[plane])
+            z, value = int(self.zeros[plane]), kind(1 << (self.planes - 1 - plane))
             back = np.empty(self.n, kind)
-            back[~bits] = now[:z]
-            back[bits] = now[z:] | kind(1 << (self.planes - 1 - plane))
+            for number in range(self.blocks):
+                bits = self._block(plane, number).view(bool)
+                part = back[number * BLOCK_BITS : number * BLOCK_BITS + len(bits)]
+                if value == 1:  # nothing is known before the lowest plane
+                    part[:] = bits
+                    continue
+                up, down = np.flatnonzero(bits), np.flatnonzero(~bits)
+                ones = int(self.ones_before[plane, number])
+                part[up] = now[z + ones : z + ones + len(up)] | value
+                part[down] = now[number * BLOCK_BITS - ones : number * BLOCK_BITS - ones + len(down)]
             now = back
         return now.astype(np.uint32)
 
@@ -188,8 +212,34 @@ def byte_characters() -> str:
     return "".join(chr(c) if c in visible else chr(next(others)) for c in range(256))
 
 
+def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all segments, the row of each, and the bytes without which a segment is one pre-token of letters, marks or digits."""
+    if not len(raw):
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
+    kinds = KINDS[raw]
+    two = np.flatnonzero(LEADS[raw])
+    if len(two):
+        then = raw[np.minimum(two + 1, len(raw) - 1)]
+        two = two[(then & 0xC0 == 0x80) & ((raw[two] != 0xC3) | ((then != 0x97) & (then != 0xB7)))]
+        kinds[two] = kinds[two + 1] = LETTER
+    word = ~T.SPACE[raw]
+    last, here = kinds[:-1], kinds[1:]
+    could_contract = (raw[:-1] == 0x27) & (here == LETTER)
+    #: Whether a byte goes on with the segment of the one before it; one entry more, for the end.
+    on = np.zeros(len(raw) + 1, bool)
+    on[1:-1] = word[1:] & word[:-1] & ((last == here) | (last == 0) | (here == 0) | could_contract)
+    on[offsets] = False
+    starts = np.flatnonzero(word & ~on[:-1])
+    ends = np.flatnonzero(word & ~on[1:]) + 1
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+    unsure = word & (kinds == 0)
+    unsure[1:] |= could_contract & on[1:-1]
+    return starts, ends, rows, np.flatnonzero(unsure)
+
+
 class Encoder:
-    """The tokenizers library with a memo of words.
+    """The tokenizers library with a memo of segments.
 
     ``special_as_text``: the vocabulary's added tokens are ordinary text where a text has their strings.
     """
@@ -211,15 +261,58 @@ class Encoder:
         self.by_words = plan["normalizer"] is None and (before.get("type"), before.get("use_regex"), before.get("add_prefix_space")) == ("ByteLevel", True, False) and plan["model"]["type"] == "BPE"
         of_byte = byte_characters()
         self.characters = {ord(c): "".join(of_byte[b] for b in c.encode()) for c in map(chr, range(ord(FIRST_WHOLE))) if of_byte[ord(c) & 255] != c or ord(c) > 127}
-        self.space = self.characters[0x20]
-        self.marks = {c: self.library.encode(c, add_special_tokens=False).ids for c in MARKS}
+        #: The vocabulary's character of each byte, in UTF-16.
+        self.shown = np.array([ord(c) for c in of_byte], "<u2")
         self._forget()
 
     def _forget(self) -> None:
-        #: Sorted keys of known words, with their second hash and their ids' place in ``ids``; a word of -1 ids can't be encoded apart.
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        self.places, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        #: Ids of known segments, with room behind the ``used`` ones.
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self._make_slots(LEAST_SLOTS)
+
+    def _make_slots(self, n: int) -> None:
+        #: An open hash table: a segment's key (0: a free slot), its second hash, and its ids' place and number; a segment of -1 ids can't be encoded apart.
+        self.keys, self.checks = np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+        self.places, self.sizes = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.known = 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot that holds each key, or the free one where it would go."""
+        mask = len(self.keys) - 1
+        at = (keys & np.uint64(mask)).astype(np.int64)
+        held = self.keys[at]
+        left = np.flatnonzero((held != keys) & (held != 0))
+        while len(left):
+            at[left] = now = (at[left] + 1) & mask
+            held = self.keys[now]
+            left = left[(held != keys[left]) & (held != 0)]
+        return at
+
+    def _put(self, keys: np.ndarray, checks: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> None:
+        """Enter distinct keys that the table doesn't have."""
+        if self.known + len(keys) > FULL * len(self.keys):
+            old = np.flatnonzero(self.keys)
+            held = self.keys[old], self.checks[old], self.places[old], self.sizes[old]
+            n = len(self.keys)
+            while len(old) + len(keys) > FULL * n:
+                n *= 2
+            self._make_slots(n)
+            self._put(*held)
+        self.known += len(keys)
+        while len(keys):
+            at = self._slots(keys)
+            self.keys[at] = keys
+            won = self.keys[at] == keys  # of those that met in one slot, one
+            self.checks[at[won]], self.places[at[won]], self.sizes[at[won]] = checks[won], places[won], sizes[won]
+            keys, checks, places, sizes = keys[~won], checks[~won], places[~won], sizes[~won]
+
+    def _append(self, ids: np.ndarray) -> None:
+        """Write ids behind the used ones."""
+        if self.used + len(ids) > len(self.ids):
+            more = np.zeros(max(2 * len(self.ids), self.used + len(ids)), np.uint32)
+            more[: self.used] = self.ids[: self.used]
+            self.ids = more
+        self.ids[self.used : self.used + len(ids)] = ids
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -228,39 +321,46 @@ class Encoder:
         """Ids of a pre-token of settled characters."""
         return [t.id for t in self.model.tokenize(piece.translate(self.characters))]
 
-    def word_ids(self, word: str, lead: int) -> list[int] | None:
-        """Ids of a word with what stands before it; None if it holds white space, which could join with what is around."""
-        body, mark = (word[:-1], word[-1]) if word[-1] in MARKS else (word, "")
-        if body.isalpha() and (body.isascii() or max(body) < FIRST_WHOLE):
-            # One pre-token of letters, and the mark as one of its own.
-            letters = body if body.isascii() else body.translate(self.characters)
-            found = [t.id for t in self.model.tokenize(self.space + letters if lead == SPACE else letters)]
-            if mark:
-                found += self.marks[mark]
-        elif not word.isprintable() and any(c.isspace() for c in word):
+    def segment_ids(self, word: str, lead: int) -> list[int] | None:
+        """Ids of a segment with what stands before it; None if it holds white space, which could join with what is around."""
+        if not word.isprintable() and any(c.isspace() for c in word):
             return None
-        elif max(word) < FIRST_WHOLE:
+        if max(word) < FIRST_WHOLE:
             found = [i for piece in PATTERN.findall(f" {word}" if lead == SPACE else word) for i in self._model_ids(piece)]
         else:
             found = self.library.encode(f" {word}" if lead == SPACE else word, add_special_tokens=False).ids
         return self.line_end + found if lead == LINE else found
 
-    def _learn(self, at: np.ndarray, keys: np.ndarray, checks: np.ndarray, words: list[str], leads: list[int]) -> None:
-        """Put new words into the memo; ``at`` are their sorted places."""
-        model, space = self.model.tokenize, self.space
-        # Most new words are plain letters after a space.
-        found = [[t.id for t in model(space + w)] if lead == SPACE and w.isascii() and w.isalpha() else self.word_ids(w, lead) for w, lead in zip(words, leads, strict=True)]
-        sizes = np.array([-1 if f is None else len(f) for f in found], np.int64)
-        flat = np.array([i for f in found if f is not None for i in f], np.uint32)
-        ends = np.cumsum(np.maximum(sizes, 0))
-        self.places = np.insert(self.places, at, len(self.ids) + ends - np.maximum(sizes, 0))
-        self.sizes, self.keys, self.checks = np.insert(self.sizes, at, sizes), np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
-        self.ids = np.concatenate([self.ids, flat])
+    def _learn(self, keys, checks, raw, data, starts, ends, lead, unsure) -> None:
+        """Put new segments into the memo."""
+        model, line_end = self.model.tokenize, self.line_end
+        shown = self.shown[raw].tobytes().decode("utf-16-le")
+        sure = np.searchsorted(unsure, starts) == np.searchsorted(unsure, ends)
+        flat, tops, apart = [], [], []
+        for a, b, before, one in zip(starts.tolist(), ends.tolist(), lead.tolist(), sure.tolist(), strict=True):
+            if one:
+                if before == LINE:
+                    flat += line_end
+                flat += [t.id for t in model(shown[a - 1 if before == SPACE else a : b])]
+            else:
+                ids = self.segment_ids(data[a:b].decode(), before)
+                if ids is None:
+                    apart.append(len(tops))
+                else:
+                    flat += ids
+            tops.append(len(flat))
+        places = np.array([0, *tops], np.int64)
+        sizes = np.diff(places).astype(np.int32)
+        sizes[apart] = -1
+        self._append(np.array(flat, np.uint32))
+        self._put(keys, checks, self.used + places[:-1], sizes)
+        self.used += len(flat)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each), of texts as UTF-8 bytes and their offsets; ``end`` closes each text."""
         n = len(offsets) - 1
-        starts, ends, rows = T.word_spans(raw, offsets)
+        starts, ends, rows, unsure = segments(raw, offsets)
+        numbers = np.bincount(rows, minlength=n)
         first = np.ones(len(starts), bool)
         first[1:] = rows[1:] != rows[:-1]
         gap = starts - np.where(first, offsets[rows], np.concatenate([[0], ends[:-1]])) if len(starts) else starts
@@ -269,54 +369,53 @@ class Encoder:
         odd = (gap > 1) | ((gap == 1) & (before != 0x20) & (before != 0x0A))
         plain = np.full(n, self.by_words)
         plain[rows[odd]] = False
-        lasts = np.zeros(n, np.int64)
+        lasts = offsets[:-1].copy()
         lasts[rows] = ends
-        lasts = np.where(np.bincount(rows, minlength=n) > 0, lasts, offsets[:-1])
         plain[lasts != offsets[1:]] = False  # white space at the end
         data = raw.tobytes()
         if any(t.encode() in data for t in self.added):
             for i in range(n):
                 plain[i] &= not any(t.encode() in data[offsets[i] : offsets[i + 1]] for t in self.added)
         here = plain[rows]
-        places, sizes = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        if here.any():
-            places[here], sizes[here] = self._known(raw, data, starts[here], ends[here], lead[here])
-            plain[rows[here][sizes[here] < 0]] = False
-            here = plain[rows]
-        # A text is its words' ids, or one run of ids of its own; then the end.
+        places, sizes = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int32)
+        if here.all() and len(here):
+            places, sizes = self._known(raw, data, starts, ends, lead, unsure)
+        elif here.any():
+            places[here], sizes[here] = self._known(raw, data, starts[here], ends[here], lead[here], unsure)
+        plain[rows[here & (sizes < 0)]] = False
+        # A text is its segments' ids, or one run of ids of its own; then the end.
         other = np.flatnonzero(~plain)
         runs = self.whole([data[offsets[i] : offsets[i + 1]].decode() for i in other])
         tail = np.concatenate([*runs, np.array([] if end is None else [end])]).astype(np.uint32)
         run_sizes = np.array([len(r) for r in runs], np.int64)
-        run_places = len(self.ids) + np.cumsum(run_sizes) - run_sizes
-        parts = [(rows[here], places[here], sizes[here]), (other, run_places, run_sizes)]
+        self._append(tail)
+        firsts = np.concatenate([[0], np.cumsum(np.where(plain, numbers, 1) + (end is not None))])
+        place, size = np.empty(firsts[-1], np.int64), np.empty(firsts[-1], np.int64)
+        at = np.arange(len(rows)) + np.repeat(firsts[:-1] - (np.cumsum(numbers) - numbers), numbers)
+        if len(other):
+            here = plain[rows]
+            at, places, sizes = at[here], places[here], sizes[here]
+        place[at], size[at] = places, sizes
+        place[firsts[other]], size[firsts[other]] = self.used + np.cumsum(run_sizes) - run_sizes, run_sizes
         if end is not None:
-            parts.append((np.arange(n), np.full(n, len(self.ids) + len(tail) - 1), np.ones(n, np.int64)))
-        row, place, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(row, kind="stable")
-        row, place, size = row[order], place[order], size[order]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        index = np.repeat(place - (ends - size), size) + np.arange(total)
-        return np.concatenate([self.ids, tail])[index], np.bincount(row, weights=size, minlength=n).astype(np.int64)
-
-    def _known(self, raw, data, starts, ends, lead) -> tuple[np.ndarray, np.ndarray]:
-        """(place, number) of the ids of each word, learning those that are new."""
-        found = T.word_hashes(raw, starts, ends)
-        keys, one, which = np.unique(T.mix(found + lead.astype(np.uint64)), return_index=True, return_inverse=True)
-        checks = (T.word_hashes(raw, starts[one], ends[one], 1) >> np.uint64(32)).astype(np.uint32)
-        if len(self.keys) > MEMO:
+            place[firsts[1:] - 1], size[firsts[1:] - 1] = self.used + len(tail) - 1, 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        index = np.repeat(place - ends[:-1], size) + np.arange(ends[-1])
+        return self.ids[index], np.diff(ends[firsts])
+
+    def _known(self, raw, data, starts, ends, lead, unsure) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) of the ids of each segment, learning those that are new."""
+        if self.known > MEMO or self.used > 8 * MEMO:
             self._forget()
-        at = np.searchsorted(self.keys, keys)
-        there = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        there[inside] = self.keys[at[inside]] == keys[inside]
-        new = np.flatnonzero(~there)
-        spans = zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)
-        self._learn(at[new], keys[new], checks[new], [data[a:b].decode() for a, b in spans], lead[one[new]].tolist())
-        at = np.searchsorted(self.keys, keys)
-        sizes = np.where(self.checks[at] == checks, self.sizes[at], -1)  # another word of the same key: not apart
-        return self.places[at][which], sizes[which]
+        keys = np.maximum(T.word_hashes(raw, starts, ends) + lead.astype(np.uint64) * LEAD_MUL, np.uint64(1))
+        checks = (T.word_hashes(raw, starts, ends, 1) >> np.uint64(32)).astype(np.uint32)
+        at = self._slots(keys)
+        new = np.flatnonzero(self.keys[at] == 0)
+        if len(new):
+            new = new[np.unique(keys[new], return_index=True)[1]]
+            self._learn(keys[new], checks[new], raw, data, starts[new], ends[new], lead[new], unsure)
+            at = self._slots(keys)
+        return self.places[at], np.where(self.checks[at] == checks, self.sizes[at], -1)  # another segment of the same key: not apart
 
 
 @functools.lru_cache(maxsize=2)

@@ -48,6 +48,41 @@ def test_words_encode_as_whole_texts(texts):
     assert encoded(wavelet.encoder(), texts, 2) == [[*LIBRARY.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
+SEGMENTS = ["don't-5's''s", "'s5 't 'tis", "a.b,c 3.14 x2y", "é. ×. ÷a é×é ß5", "жд-5 ѿ. Ҁ. ҂a", "日本。. 日. e\u0301. ²5 5²", "a\u00a0. .\u00a0b", "a\x00. \x7f5", "\n'll.\n\"Well-known\"", "ſ's ŉ'T"]
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="ab'st.-5 \n", max_size=30), st.text(alphabet="aé×÷ÿĀſжѿҀ҂日。.'5²\u0301\u00a0 \n", max_size=30)), min_size=1, max_size=6))
+def test_segments_encode_as_whole_texts(texts):
+    texts = texts + SEGMENTS
+    assert encoded(wavelet.encoder(), texts, 2) == [[*LIBRARY.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow():
+    coder = wavelet.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    model, asked = coder.model, []
+
+    class Counted:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return model.tokenize(piece)
+
+    coder.model = Counted()
+    words, marks = [f"wor{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"], ["", ".", ",", "...", "$$", ");", ":5", "-5,"]
+    texts = [" ".join(["x", *(w + m for w in words)]) for m in marks]
+    assert encoded(coder, texts) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) < 2 * len(words)  # 100 words, "x" and a few runs of marks, not 800 words
+
+
+def test_a_table_that_grows(monkeypatch):
+    monkeypatch.setattr(wavelet, "LEAST_SLOTS", 4)
+    coder = wavelet.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for a in range(0, 5000, 1000):
+        texts = [" ".join(f"w{i}" for i in range(b, b + 100)) + "." for b in range(a // 2, a + 1000, 100)]
+        assert encoded(coder, texts) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.known == np.count_nonzero(coder.keys) and coder.known <= wavelet.FULL * len(coder.keys)
+
+
 def test_added_tokens_as_text():
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     plain.encode_special_tokens = True
